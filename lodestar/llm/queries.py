@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, topk, warc
+from . import exact_dedup, html, langid, mixing, quality, topk, warc
 
 
 def table(spark, sf_dir: str, name: str):
@@ -16,10 +16,18 @@ def op1_exact_topk(spark, sf_dir):
     return topk.exact_topk(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op3_langid(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -28,7 +36,11 @@ def op8_warc(spark, sf_dir):
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op5_exact_dedup, op7_mixing, op8_warc)}
+def op9_quality(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op3_langid, op5_exact_dedup, op6_main_text, op7_mixing, op8_warc, op9_quality)}
 
 ORACLE = {
     "op1_exact_topk": """
