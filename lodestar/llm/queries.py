@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html, langid, mixing, quality, topk, warc
+from . import exact_dedup, html, langid, mixing, packing, quality, topk, warc
 
 
 def table(spark, sf_dir: str, name: str):
@@ -16,6 +16,17 @@ def op1_exact_topk(spark, sf_dir):
     return topk.exact_topk(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer's file; the package that names it is on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_langid(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -40,7 +51,7 @@ def op9_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op3_langid, op5_exact_dedup, op6_main_text, op7_mixing, op8_warc, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_best_fit_packing, op3_langid, op5_exact_dedup, op6_main_text, op7_mixing, op8_warc, op9_quality)}
 
 ORACLE = {
     "op1_exact_topk": """
