@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html, langid, mixing, ngram_join, packing, quality, topk, warc
+from . import exact_dedup, html, langid, mixing, ngram_join, packing, quality, suffix_dedup, topk, warc
 
 
 def table(spark, sf_dir: str, name: str):
@@ -31,6 +31,10 @@ def op3_langid(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_best_fit_packing, op3_langid, op5_exact_dedup, op6_main_text, op7_mixing, op8_warc, op9_quality, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_best_fit_packing, op3_langid, op4_suffix_dedup, op5_exact_dedup, op6_main_text, op7_mixing, op8_warc, op9_quality, op10_ngram_join)}
 
 ORACLE = {
     "op1_exact_topk": """
