@@ -71,3 +71,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = entries.join(index, ["h", "text_sha256"])
     turn = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("h"))
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1)).alias("kept"), "text_sha256")
+
+
+def without_copies(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that exact_dedup() keeps, with their columns."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), "text_sha256")
+    rows = docs.select(*columns, F.sha2(normalised(F.col(text_col)), 256).alias("__sha"))
+    rows = rows.join(kept, (F.col("__sha") == kept["text_sha256"]) & rows[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    turn = F.row_number().over(Window.partitionBy(id_col, "__sha").orderBy("__sha"))
+    return rows.withColumn("__turn", turn).where("__turn = 1").select(*columns)

@@ -124,26 +124,30 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> dict | None:
     return fit(sample) if sample else None
 
 
-def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score. Whole texts; one pass without a shuffle.
+def identify(docs: DataFrame, model: dict | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score, then ``columns`` as they came, named in_*. One pass without a shuffle.
 
-    Learns from text and lang of the rows that are not held out unless a model is given. A text that is null, empty or has
-    no letter is ``und`` with score 0, as is every text where no row could be learned from. held_out is false for a null id.
-    Repeated rows each get their row; an empty table gives none; other columns are not read.
+    Whole texts. Learns from text and lang of the rows that are not held out unless a model is given. A text that is null,
+    empty or has no letter is ``und`` with score 0, as is every text where no row could be learned from. held_out is false
+    for a null id. Repeated rows each get their row; an empty table gives none; columns not named are not read.
     """
-    model = model or train(docs)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(model or train(docs))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, place = shipped.value, None
         if m:
             place = np.full(GRAMS, -1, np.int32)
             place[m["vocabulary"]] = np.arange(len(m["vocabulary"]))
-        for pdf in batches:
-            for at in range(0, len(pdf), BATCH):
-                part = pdf.iloc[at : at + BATCH]
-                found = predict(m, list(part["text"]), place)
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "held_out": part["held_out"].array, "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
-
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(split_of() == 0, F.lit(False)).alias("held_out"), "text")
-    return base.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+        for b in batches:
+            for at in range(0, b.num_rows, BATCH):
+                part = b.slice(at, BATCH)
+                found = predict(m, part.column("__text").to_pylist(), place)
+                out = {"doc_id": part.column("__id"), "held_out": part.column("__held"), "lang_pred": [x for x, _ in found], "score": pa.array([s for _, s in found], pa.float64())}
+                yield pa.RecordBatch.from_pydict(out | {f"__{c}_": part.column(f"__{c}_") for c in columns})
+
+    base = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(split_of() == 0, F.lit(False)).alias("__held"), F.col("text").alias("__text"), *(F.col(c).alias(f"__{c}_") for c in columns))
+    kinds = "".join(f", `__{c}_` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    found = base.mapInArrow(run, f"doc_id long, held_out boolean, lang_pred string, score double{kinds}")
+    return found.select("doc_id", "held_out", "lang_pred", "score", *(F.col(f"__{c}_").alias(f"in_{c}") for c in columns))
