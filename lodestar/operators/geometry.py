@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,26 +63,31 @@ def reading_order(boxes: DataFrame, page: str = "page_id") -> DataFrame:
 
 def x_gap_cells(boxes: DataFrame, row: str, gap: float) -> DataFrame:
     """Adds the cell number of each box in its row: a new cell where the gap to the box before is wider than ``gap``."""
-    by = Window.partitionBy(row).orderBy("x", "ord")
+    by = Window.partitionBy(row).orderBy("x", "ord", "w")
     far = F.col("x") - F.lag(F.col("x") + F.col("w")).over(by) > gap
     return boxes.withColumn("cell", F.sum(F.when(far, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def row_clusters(boxes: DataFrame, tolerance: float, page: str = "page_id") -> DataFrame:
-    """Adds the row of each box: a box joins the open row if its y is near that row's first box. A page is one small group;
-    the comparison with the first of the run is sequential, so this runs page by page in pandas."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x", "ord"])
-        rows, first, n = [], None, -1
-        for y in pdf["y"]:
-            if first is None or abs(y - first) > tolerance:
-                first, n = y, n + 1
-            rows.append(n)
-        return pdf.assign(line=rows)
+    """Adds the line of each box: a box joins the open line if its y is near that line's first box.
+
+    The comparison with the first of the run is sequential, so sorted partitions stream through Python, whole pages in a
+    partition, with only the open line's state between batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, first, n = object(), 0.0, 0
+        for pdf in batches:
+            lines = []
+            for key, y in zip(pdf[page], pdf["y"], strict=True):
+                if key != own:
+                    own, first, n = key, y, 0
+                elif abs(y - first) > tolerance:
+                    first, n = y, n + 1
+                lines.append(n)
+            yield pdf.assign(line=pd.Series(lines, index=pdf.index, dtype="int32"))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema)
-    return boxes.groupBy(page).applyInPandas(run, f"{kinds}, line int")
+    return boxes.repartition(page).sortWithinPartitions(page, "y", "x", "ord").mapInPandas(run, f"{kinds}, line int")
 
 
 def table_runs(cells: DataFrame) -> DataFrame:

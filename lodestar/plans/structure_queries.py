@@ -131,7 +131,7 @@ def reading_order(spark, sf_dir):
     return G.reading_order(_boxes(spark, sf_dir)).select("page_id", "ord", "place")
 
 
-@query(f"WITH {_BOXES}, f AS (SELECT *, CASE WHEN x - lag(x + w) OVER (PARTITION BY page_id ORDER BY x, ord) > 4 THEN 1 ELSE 0 END AS far FROM b) SELECT page_id, ord, CAST(sum(far) OVER (PARTITION BY page_id ORDER BY x, ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cell FROM f")
+@query(f"WITH {_BOXES}, f AS (SELECT *, CASE WHEN x - lag(x + w) OVER (PARTITION BY page_id ORDER BY x, ord, w) > 4 THEN 1 ELSE 0 END AS far FROM b) SELECT page_id, ord, CAST(sum(far) OVER (PARTITION BY page_id ORDER BY x, ord, w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cell FROM f")
 def x_gap_cells(spark, sf_dir):
     return G.x_gap_cells(_boxes(spark, sf_dir), "page_id", 4).select("page_id", "ord", "cell")
 
