@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, stored
 
 #: Fixed values of the format: the skippable frame that holds the dictionary, a frame's magic number, an empty skippable frame.
 DICT_MAGIC, FRAME_MAGIC, EMPTY_FRAME = 0x184D2A5D, 0xFD2FB528, "P*M\x18\x00\x00\x00\x00"
@@ -22,8 +22,10 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are always stored themselves.
 REVISIT_BYTES = 1000
-#: Bytes of payload for each archive; records and bytes that the dictionary is built from.
-ARCHIVE_BYTES, SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 8 << 20, 1000, 1 << 16, 1 << 16
+#: Records and bytes of each that the dictionary is built from (about so many, at most twice as many), and its bytes.
+SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 1000, 1 << 16, 1 << 16
+#: Records that a reader holds at once.
+READ_RECORDS = 256
 
 
 def sha1_base32(hex_digest: str) -> str:
@@ -114,36 +116,44 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
     So a lost executor leaves no half archive and path may be in any store that Spark writes to. Each file is a leading
     skippable frame with the dictionary, then a frame for each record; between frames the writer's separator is an empty
     skippable frame. Equal payloads of at least REVISIT_BYTES are stored once, in the response with the largest page_id.
+    A partition makes an archive, so its size is that of an input split or of a shuffle partition.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("n", F.octet_length("html"))
-    rows = base.where(F.length("html") > 0).where(F.col("n") <= SAMPLE_BYTES).select("html").orderBy(F.xxhash64("html")).limit(SAMPLE_RECORDS).collect()
-    words = dictionary([HTTP_HEAD + r[0].encode() for r in rows])
+    fit = base.where((F.col("n") > 0) & (F.col("n") <= SAMPLE_BYTES))
+    share = max(1, fit.count() // SAMPLE_RECORDS)
+    rows = fit.where(F.pmod(F.xxhash64("html"), F.lit(share)) == 0).select("html").limit(2 * SAMPLE_RECORDS).collect()
+    words = dictionary(sorted(HTTP_HEAD + r[0].encode() for r in rows))
     key = ["digest", "n"]
     groups = base.where(F.col("n") >= REVISIT_BYTES).groupBy(*key).agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    total = base.agg(F.sum("n")).first()[0] or 0
-    dealt = base.join(groups, key, "left").withColumn("refers_to", refers).repartition(1 + total // ARCHIVE_BYTES, F.xxhash64("page_id", "url"))
+    dealt = base.join(stored(groups, "warc-copies"), key, "left").withColumn("refers_to", refers)
     made = dealt.select("page_id", "url", "html", "digest", "refers_to").mapInPandas(_write(words, date), "frame binary")
     made.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).option("compression", "none").text(path)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        pdf = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_digest", "refers_to", "payload", "archive"])
+        return pdf.astype({"page_id": "Int64", "refers_to": "Int64"})
+
     for pdf in batches:
         for content, path in zip(pdf["content"], pdf["path"], strict=True):
             out = []
             for x in map(parse, frames(bytes(content))):
+                if len(out) == READ_RECORDS:
+                    yield table(out)
+                    out = []
                 f = x["fields"]
                 ids = [None if (v := f.get(k, "null")[10:-1]) in ("", "null") else int(v) for k in ("WARC-Record-ID", "WARC-Refers-To")]
                 out.append((ids[0], f["WARC-Target-URI"], f["WARC-Type"], base64.b32decode(f["WARC-Payload-Digest"][5:]).hex(), ids[1], x["payload"], path.rsplit("/", 1)[-1]))
-            pdf = pd.DataFrame(out, columns=["page_id", "url", "record_type", "payload_digest", "refers_to", "payload", "archive"])
-            yield pdf.astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield table(out)
 
 
 def read_archives(spark, path: str) -> DataFrame:
     """The records of all archives of a folder: page_id, url, record_type, payload_digest, refers_to, payload, archive.
 
-    Each digest is held against the bytes read. An archive is read whole: write_archives bounds its size.
+    Each digest is held against the bytes read. An archive is read whole, its records in groups of READ_RECORDS.
     """
     schema = "page_id long, url string, record_type string, payload_digest string, refers_to long, payload binary, archive string"
     return spark.read.format("binaryFile").load(path).select("content", "path").mapInPandas(_read, schema)
