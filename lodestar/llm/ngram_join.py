@@ -273,6 +273,21 @@ def _verify(batches: Iterator, k: int, num: int, den: int) -> Iterator:
             yield pa.RecordBatch.from_pydict({"a": part.column("ca").filter(pa.array(ok)), "b": part.column("cb").filter(pa.array(ok))})
 
 
+def posted_lists(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(h, cid, n): the lists of prefix shingles that can give a pair.
+
+    Dropped are members with no other of the list near enough in size, which the next in order of size decide, and lists with
+    the very members of another: the shingles of a shared passage mostly have the same documents, and one list gives all
+    their pairs.
+    """
+    size = Window.partitionBy("h").orderBy("n", "cid")
+    near = (den * F.lag("n").over(size) >= num * F.col("n")) | (den * F.col("n") >= num * F.lead("n").over(size))
+    lists = stored(classes.select("cid", "n", F.explode("pre").alias("h")).withColumn("near", near).where("near").drop("near"), "join-posted")
+    members = lists.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("x2"))
+    single = members.groupBy("m", "x1", "x2").agg(F.min("h").alias("h")).select("h")
+    return stored(lists.join(single, "h", "left_semi"), "join-lists")
+
+
 def residual_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: int, den: int, best: bool) -> DataFrame:
     """(a, b) components that a link joins, from the lists whose members are not yet of one component."""
     lists = shared.join(labels, "cid")
@@ -282,7 +297,7 @@ def residual_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, tex
     lists = lists.withColumn("blk", F.pmod(F.xxhash64("cid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     lists = lists.select("h", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cid", "comp")
     known = lists.join(classes.select("cid", "n", "bits"), "cid").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    pairs = known.mapInArrow(lambda b: _suspects(b, num, den, best), EDGES).distinct()
+    pairs = stored(known.mapInArrow(lambda b: _suspects(b, num, den, best), EDGES).distinct(), "join-pairs")
     side = lambda x: texts.join(labels, "cid").select(F.col("cid").alias(x), F.col("text").alias(f"t{x}"), F.col("comp").alias(f"c{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("ta", "tb", "ca", "cb").mapInArrow(lambda b: _verify(b, k, num, den), EDGES)
 
@@ -308,15 +323,14 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     sketch = sketches(base, k, num, den)
     reps = stored(sketch.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("row").alias("cid")), "join-classes")
     classes = sketch.join(reps.select(F.col("cid").alias("row")), "row").select(F.col("row").alias("cid"), "n", "pre", "bits")
-    posted = classes.select("cid", F.explode("pre").alias("h")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("m > 1")
-    shared = stored(posted.select("h", "cid"), "join-lists")
-    wanted = shared.select("cid").distinct().join(reps, "cid").select("cid", "rep", "d1")
-    texts = stored(base.join(wanted, base["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "d1", "text"), "join-texts")
+    shared = posted_lists(classes, num, den)
     first = classes.select("cid", "n", F.element_at("pre", 1).alias("key"))
     groups = first.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("m > 1")
     parts = F.greatest(F.ceil(F.col("m") / F.lit(BLOCK_SETS)), F.ceil(F.col("s") / F.lit(BLOCK_SHINGLES)))
     blocks = first.join(groups, "key").select("cid", "key", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("block"))
-    dealt = texts.join(blocks, "cid").repartition("key", "block").sortWithinPartitions("key", "block")
+    wanted = stored(shared.select("cid").distinct().join(reps, "cid").join(blocks, "cid", "left").select("cid", "rep", "d1", "key", "block"), "join-wanted")
+    texts = stored(base.join(wanted, base["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "d1", "key", "block", "text"), "join-texts")
+    dealt = texts.where("key is not null").repartition("key", "block").sortWithinPartitions("key", "block")
     found = dealt.select("key", "block", "cid", "d1", "text").mapInArrow(lambda b: _search(b, k, num, den), EDGES)
     labels = reps.select("cid").join(found, reps["cid"] == found["a"], "left").select("cid", F.coalesce("b", "cid").alias("comp"))
     labels = stored(labels, "join-labels")
