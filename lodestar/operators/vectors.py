@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -62,8 +63,6 @@ def retained_vectors(stored: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def embed_with(embed, dimensions: int):
     """A vectorised embedder seam: embed takes a list of texts and returns as many vectors, each checked."""
-    import pandas as pd
-
     @F.pandas_udf(ArrayType(FloatType()))
     def run(text: pd.Series) -> pd.Series:
         import numpy as np
