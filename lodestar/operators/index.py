@@ -123,13 +123,13 @@ def matches(chunks: DataFrame, terms: DataFrame, restrict: DataFrame | None = No
     """
     split = with_terms(chunks)
     stats = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avg_len"))
-    asked = F.broadcast(terms.select("term").distinct())
+    asked = terms.select("term").distinct()
     hits = split.select("chunk_id", "doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(asked, "term")
     hits = hits.groupBy("term", "chunk_id", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    counted = hits.join(F.broadcast(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), "term").join(F.broadcast(stats))
+    counted = hits.join(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").join(F.broadcast(stats))
     if restrict is not None:
         counted = counted.join(restrict.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    found = counted.join(F.broadcast(terms), "term")
+    found = counted.join(terms, "term")
     if max_scored is not None:
         first = Window.partitionBy("query_id", "chunk_id")
         order = found.withColumn("turn", F.min(F.struct("df", "term", "doc_id", "chunk_id")).over(first))
@@ -180,7 +180,6 @@ def changed_documents(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def quotes(docs: DataFrame, phrase: Column) -> DataFrame:
     """(doc_id, start, end, quote): the first place of a phrase in each document, in UTF-16 units."""
-    at = F.locate(phrase, F.col("text")) if isinstance(phrase, str) else F.expr("0")
     at = F.instr(F.col("text"), phrase)
     start = utf16_length(F.substring(F.col("text"), F.lit(1), at - 1))
     return docs.where(at > 0).select("doc_id", start.alias("start"), (start + utf16_length(phrase)).alias("end"), phrase.alias("quote"))

@@ -114,7 +114,7 @@ def stray_codes(texts: DataFrame) -> DataFrame:
 
 def gate(metrics: DataFrame, policy: DataFrame) -> DataFrame:
     """metrics (scope, metric, value) against policy (scope, metric, least): what fails; a null value fails."""
-    joined = F.broadcast(policy).join(metrics, ["scope", "metric"], "left")
+    joined = policy.join(metrics, ["scope", "metric"], "left")
     return joined.where(F.col("value").isNull() | (F.col("value") < F.col("least"))).select("scope", "metric", "value", "least")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql.types import ArrayType, FloatType
 
 #: Fixed value: the constant of reciprocal-rank fusion.
 RRF_K = 60
+#: Query vectors that one ranking sends to all tasks.
+MAX_QUERIES = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,7 +35,9 @@ def unit(v: Column) -> Column:
 def cosine_ranking(vectors: DataFrame, queries: DataFrame, k: int, floor: float | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): each query vector against all others, best first, ties by id as text.
 
-    queries is a stated, small set and goes to all tasks; the floor is applied before ranking."""
+    queries is a stated set, checked to be small, that goes to all tasks; the floor is applied before ranking."""
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} query vectors; rank them in parts")
     q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q"))
     v = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
     scored = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 9).alias("score"))
