@@ -229,15 +229,17 @@ def _unpack(bits: list[bytes], size: int) -> np.ndarray:
 
 
 def _suspects(batches: Iterator, num: int, den: int, best: bool) -> Iterator:
-    """Pairs of a list whose components differ and whose sizes and parity bits allow a link; with best, one for each two components."""
+    """Pairs of a list whose components differ and whose sizes and parity bits allow a link, each in the first list alone that
+    both are in. With best only as many, the likeliest first, as would join the list's components if all were links."""
     import pyarrow as pa
 
     for t in _runs(batches, ["h", "i", "j"]):
         n, cid, comp, blk = (t.column(c).to_numpy() for c in ("n", "cid", "comp", "blk"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        bits = t.column("bits").to_pylist()
+        h, i, j = (t.column(c)[0].as_py() for c in ("h", "i", "j"))
+        bits, lists = t.column("bits").to_pylist(), t.column("lists").to_pylist()
         order = np.lexsort((cid, n))
-        n, cid, comp, blk, bits = n[order], cid[order], comp[order], blk[order], [bits[x] for x in order]
+        n, cid, comp, blk, bits, lists = n[order], cid[order], comp[order], blk[order], [bits[x] for x in order], [lists[x] for x in order]
+        earlier = [frozenset(x[: x.index(h)]) for x in lists]
         out = []
         for x in range(1, len(n)):
             low = int(np.searchsorted(n[:x], least_overlap(int(n[x]), num, den)))
@@ -248,16 +250,18 @@ def _suspects(batches: Iterator, num: int, den: int, best: bool) -> Iterator:
                 differ = np.bitwise_count(_unpack([bits[z] for z in y], size) ^ _unpack([bits[x]], size)).sum(1, dtype=np.int64)
                 most = (n[x] + n[y] - differ) // 2
                 ok = den * most >= num * (n[x] + n[y] - most)
-                out += [(int(comp[x]), int(comp[z]), float(m / n[x]), int(cid[x]), int(cid[z])) for z, m in zip(y[ok], most[ok], strict=True)]
+                out += [(float(m / n[x]), x, int(z)) for z, m in zip(y[ok], most[ok], strict=True) if earlier[x].isdisjoint(earlier[z])]
         if best and out:
-            top: dict = {}
-            for ca, cb, s, a, b in out:
-                key = (min(ca, cb), max(ca, cb))
-                if key not in top or s > top[key][0]:
-                    top[key] = (s, a, b)
-            out = [(0, 0, *v) for v in top.values()]
+            place = {c: at for at, c in enumerate(np.unique(comp).tolist())}
+            forest, kept = Forest(len(place)), []
+            for pair in sorted(out, reverse=True):
+                a, b = place[int(comp[pair[1]])], place[int(comp[pair[2]])]
+                if forest.find(a) != forest.find(b):
+                    forest.join(a, b)
+                    kept.append(pair)
+            out = kept
         if out:
-            yield pa.RecordBatch.from_pydict({"a": pa.array([max(p[3:]) for p in out], pa.int64()), "b": pa.array([min(p[3:]) for p in out], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array([int(max(cid[x], cid[z])) for _, x, z in out], pa.int64()), "b": pa.array([int(min(cid[x], cid[z])) for _, x, z in out], pa.int64())})
 
 
 def _verify(batches: Iterator, k: int, num: int, den: int) -> Iterator:
@@ -296,7 +300,8 @@ def residual_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, tex
     parts = F.ceil(F.col("m") / F.lit(LIST_BLOCK)).cast("int")
     lists = lists.withColumn("blk", F.pmod(F.xxhash64("cid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     lists = lists.select("h", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cid", "comp")
-    known = lists.join(classes.select("cid", "n", "bits"), "cid").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    own = shared.groupBy("cid").agg(F.sort_array(F.collect_list("h")).alias("lists"))  # no longer than the prefix
+    known = lists.join(classes.select("cid", "n", "bits"), "cid").join(own, "cid").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
     pairs = stored(known.mapInArrow(lambda b: _suspects(b, num, den, best), EDGES).distinct(), "join-pairs")
     side = lambda x: texts.join(labels, "cid").select(F.col("cid").alias(x), F.col("text").alias(f"t{x}"), F.col("comp").alias(f"c{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("ta", "tb", "ca", "cb").mapInArrow(lambda b: _verify(b, k, num, den), EDGES)
@@ -324,7 +329,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     reps = stored(sketch.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("row").alias("cid")), "join-classes")
     classes = sketch.join(reps.select(F.col("cid").alias("row")), "row").select(F.col("row").alias("cid"), "n", "pre", "bits")
     shared = posted_lists(classes, num, den)
-    first = classes.select("cid", "n", F.element_at("pre", 1).alias("key"))
+    first = classes.select("cid", "n", F.get("pre", F.lit(0)).alias("key"))
     groups = first.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("m > 1")
     parts = F.greatest(F.ceil(F.col("m") / F.lit(BLOCK_SETS)), F.ceil(F.col("s") / F.lit(BLOCK_SHINGLES)))
     blocks = first.join(groups, "key").select("cid", "key", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("block"))
