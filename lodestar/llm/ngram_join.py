@@ -15,7 +15,7 @@ from .components import connected_components
 #: Sets and shingles of one search block; members of one block of a list; DivideSkip's weight of a probe.
 BLOCK_SETS, BLOCK_SHINGLES, LIST_BLOCK, PROBE = 1000, 2_000_000, 1000, 0.5
 #: Shingles that are ordered last by their counts, as far as they are met often; the number bounds the broadcast.
-FREQUENT, OFTEN = 65_536, 50
+FREQUENT, OFTEN = 262_144, 50
 EDGES = "a long, b long"
 
 
@@ -51,7 +51,7 @@ def _common(batches: Iterator, k: int) -> Iterator:
         found = [s for s in sets_of(b.column("text"), k) if len(s)]
         if found:
             h, n = np.unique(np.concatenate(found), return_counts=True)
-            keep = n >= max(3, len(found) // 500)
+            keep = n >= max(3, len(found) // 2000)
             yield pa.RecordBatch.from_pydict({"h": pa.array(h[keep].view(np.int64)), "n": pa.array(n[keep])})
 
 
@@ -74,7 +74,7 @@ def prefix(s: np.ndarray, rank: tuple[np.ndarray, np.ndarray], num: int, den: in
 
 
 def sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(row, doc_id, n, d1, d2, pre, bits): size, 128-bit digest, prefix and parity bits of each document's set."""
+    """(row, doc_id, n, d1, d2, pre, bits, low): size, 128-bit digest, prefix, parity bits and least hash of each document's set."""
     often = frequent_shingles(docs, k)
     shipped = docs.sparkSession.sparkContext.broadcast(often)
 
@@ -91,11 +91,11 @@ def sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     {
                         "doc_id": ids.slice(at, 2000), "n": pa.array([len(s) for s in found], pa.int64()),
                         "d1": pa.array([int(mix(s).sum().view(np.int64)) for s in found], pa.int64()), "d2": pa.array([int(mix(s ^ np.uint64(0xA5A5A5A5)).sum().view(np.int64)) for s in found], pa.int64()),
-                        "pre": pa.array([prefix(s, rank, num, den).view(np.int64) for s in found], pa.list_(pa.int64())), "bits": [parity(s).tobytes() for s in found],
+                        "pre": pa.array([prefix(s, rank, num, den).view(np.int64) for s in found], pa.list_(pa.int64())), "bits": [parity(s).tobytes() for s in found], "low": pa.array([s[0].view(np.int64).item() if len(s) else None for s in found], pa.int64()),
                     }
                 )
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, pre array<long>, bits binary")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, pre array<long>, bits binary, low long")
     return stored(base.withColumn("row", F.monotonically_increasing_id()), "join-sketches")
 
 
@@ -261,7 +261,7 @@ def _suspects(batches: Iterator, num: int, den: int, best: bool) -> Iterator:
                     kept.append(pair)
             out = kept
         if out:
-            yield pa.RecordBatch.from_pydict({"a": pa.array([int(max(cid[x], cid[z])) for _, x, z in out], pa.int64()), "b": pa.array([int(min(cid[x], cid[z])) for _, x, z in out], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"h": pa.array([h] * len(out), pa.int64()), "a": pa.array([int(max(cid[x], cid[z])) for _, x, z in out], pa.int64()), "b": pa.array([int(min(cid[x], cid[z])) for _, x, z in out], pa.int64())})
 
 
 def _verify(batches: Iterator, k: int, num: int, den: int) -> Iterator:
@@ -292,8 +292,9 @@ def posted_lists(classes: DataFrame, num: int, den: int) -> DataFrame:
     return stored(lists.join(single, "h", "left_semi"), "join-lists")
 
 
-def residual_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: int, den: int, best: bool) -> DataFrame:
-    """(a, b) components that a link joins, from the lists whose members are not yet of one component."""
+def residual_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: int, den: int, best: bool) -> tuple[DataFrame, DataFrame]:
+    """(a, b) components that a link joins, from the lists whose members are not yet of one component; and the lists with a
+    pair: when components have been joined, no other list can have one."""
     lists = shared.join(labels, "cid")
     by = Window.partitionBy("h")
     lists = lists.select("h", "cid", "comp", F.min("comp").over(by).alias("lo"), F.max("comp").over(by).alias("hi"), F.count(F.lit(1)).over(by).alias("m")).where("lo <> hi").drop("lo", "hi")
@@ -302,9 +303,10 @@ def residual_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, tex
     lists = lists.select("h", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cid", "comp")
     own = shared.groupBy("cid").agg(F.sort_array(F.collect_list("h")).alias("lists"))  # no longer than the prefix
     known = lists.join(classes.select("cid", "n", "bits"), "cid").join(own, "cid").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    pairs = stored(known.mapInArrow(lambda b: _suspects(b, num, den, best), EDGES).distinct(), "join-pairs")
+    pairs = stored(known.mapInArrow(lambda b: _suspects(b, num, den, best), f"h long, {EDGES}"), "join-pairs")
     side = lambda x: texts.join(labels, "cid").select(F.col("cid").alias(x), F.col("text").alias(f"t{x}"), F.col("comp").alias(f"c{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("ta", "tb", "ca", "cb").mapInArrow(lambda b: _verify(b, k, num, den), EDGES)
+    links = pairs.join(side("a"), "a").join(side("b"), "b").select("ta", "tb", "ca", "cb").mapInArrow(lambda b: _verify(b, k, num, den), EDGES)
+    return links, shared.join(pairs.select("h").distinct(), "h", "left_semi")
 
 
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -316,7 +318,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     """One row per document: doc_id, n_shingles, component_id, for links of den * intersection >= num * union of k-word sets.
 
     1. Equal sets become one class, before any shuffle of more than digests. 2. A prefix of each set in one common order
-    is posted; lists of one class are dropped. 3. The classes of equal first shingle are searched together by T-occurrence,
+    is posted; lists of one class are dropped. 3. The classes of equal least hash are searched together by T-occurrence,
     in blocks of bounded size. 4. Lists that still hold two components give the pairs that sizes and parity bits can't rule
     out, first the likeliest of each two components, then, after those have been joined, all; each is compared in full.
     So no link between components is missed, and no list is expanded into its pairs while its members are connected.
@@ -327,9 +329,9 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = sketches(base, k, num, den)
     reps = stored(sketch.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("row").alias("cid")), "join-classes")
-    classes = sketch.join(reps.select(F.col("cid").alias("row")), "row").select(F.col("row").alias("cid"), "n", "pre", "bits")
+    classes = sketch.join(reps.select(F.col("cid").alias("row")), "row").select(F.col("row").alias("cid"), "n", "pre", "bits", "low")
     shared = posted_lists(classes, num, den)
-    first = classes.select("cid", "n", F.get("pre", F.lit(0)).alias("key"))
+    first = classes.select("cid", "n", F.col("low").alias("key"))
     groups = first.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("m > 1")
     parts = F.greatest(F.ceil(F.col("m") / F.lit(BLOCK_SETS)), F.ceil(F.col("s") / F.lit(BLOCK_SHINGLES)))
     blocks = first.join(groups, "key").select("cid", "key", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("block"))
@@ -341,7 +343,8 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     labels = stored(labels, "join-labels")
     texts = texts.select("cid", "text")
     for best in (True, False):
-        labels = relabel(labels, residual_links(shared, labels, classes, texts, k, num, den, best))
+        links, shared = residual_links(shared, labels, classes, texts, k, num, den, best)
+        labels = relabel(labels, links)
     members = reps.join(labels, "cid")
     lowest = members.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = members.join(lowest, "comp").select("d1", "d2", "n", "component_id")
