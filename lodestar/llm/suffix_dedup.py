@@ -1,4 +1,5 @@
-"""Repeated passages by sparse suffix arrays: suffixes at minimiser positions, sorted, compared with their neighbours."""
+"""Repeated passages by sparse suffix arrays: suffixes at minimiser positions, sorted and compared with their neighbours; then the
+windows around them that may be held twice, sorted and compared in turn."""
 
 from __future__ import annotations
 
@@ -12,16 +13,17 @@ from .common import mix, shingle_hashes, stored, text_steps, word_hashes
 
 #: Bits of a word's place within a step (a step holds fewer words), below those of its gram's hash.
 PLACE = 24
-SUFFIX = "key long, right binary, left binary, doc_id long, pos long"
-SPAN = f"start long, end long, other long, edge boolean, {SUFFIX}"
+SUFFIX = "key long, right binary, left binary, doc_id long, pos long, held int"
+WINDOW = "hash long, doc_id long, start long"
+REPEAT = f"{WINDOW}, other long, edge boolean"
 
 
-def minimisers(words: np.ndarray, k: int, span: int) -> np.ndarray:
+def minimisers(words: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the least k-gram of each window of ``span`` words, by hash, ties to the first: what a window holds alone
-    decides, so equal passages of ``span`` words keep equal positions."""
+    decides, so equal windows keep it at equal places. With each position the first of its windows, and how many follow on."""
     n = len(words)
     if n < span:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     grams = shingle_hashes(words, k)
     value = (grams >> np.uint64(PLACE) << np.uint64(PLACE)) | np.arange(len(grams), dtype=np.uint64)
     width, done = span - k + 1, 1
@@ -29,7 +31,7 @@ def minimisers(words: np.ndarray, k: int, span: int) -> np.ndarray:
         step = min(done, width - done)
         value = np.minimum(value[: len(value) - step], value[step:])
         done += step
-    return np.unique(value & np.uint64((1 << PLACE) - 1)).astype(np.int64)
+    return np.unique((value & np.uint64((1 << PLACE) - 1)).astype(np.int64), return_index=True, return_counts=True)
 
 
 def contexts(words: np.ndarray, at: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,9 +47,9 @@ def _suffixes(batches: Iterator, k: int, span: int) -> Iterator:
     import pyarrow as pa
 
     def table(out: list) -> pa.RecordBatch:
-        keys, rights, lefts, docs, places = zip(*out, strict=True)
+        keys, rights, lefts, docs, places, held = zip(*out, strict=True)
         side = lambda xs: pa.array([r.tobytes() for x in xs for r in x], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), side(rights), side(lefts), pa.array([d for d, p in zip(docs, places, strict=True) for _ in p], pa.int64()), pa.array(np.concatenate(places))], ["key", "right", "left", "doc_id", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), side(rights), side(lefts), pa.array([d for d, p in zip(docs, places, strict=True) for _ in p], pa.int64()), pa.array(np.concatenate(places)), pa.array(np.concatenate(held), pa.int32())], ["key", "right", "left", "doc_id", "pos", "held"])
 
     for b in batches:
         ids, out, held = b.column("doc_id").to_pylist(), [], 0
@@ -57,10 +59,10 @@ def _suffixes(batches: Iterator, k: int, span: int) -> Iterator:
                 own = words[first[r] : first[r + 1]]
                 for base in range(0, max(1, len(own)), 1 << (PLACE - 1)):  # steps of a very long text overlap
                     part = own[base : base + (1 << (PLACE - 1)) + 2 * span]
-                    at = minimisers(part, k, span)
+                    at, start, many = minimisers(part, k, span)
                     if len(at):
                         right, left = contexts(part, at, k, span)
-                        out.append((mix(shingle_hashes(part, k)[at]), right, left, ids[i + r], at + base))
+                        out.append((mix(shingle_hashes(part, k)[at]), right, left, ids[i + r], at + base, (at - start) * span + many))
                         held += len(at)
                 if held > 4000:
                     yield table(out)
@@ -76,67 +78,95 @@ def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return differ.argmax(1)
 
 
-def neighbours(key: np.ndarray, right: np.ndarray, left: np.ndarray, doc: np.ndarray, pos: np.ndarray, k: int, span: int) -> tuple[np.ndarray, ...]:
-    """(row, start, end, other) of sorted suffixes: each held against the nearest before and after it that is of another
-    document, the match extended right and left; kept where it reaches ``span`` words."""
+def depths(key: np.ndarray, right: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of sorted suffixes the longest right context shared with another document's of the same key: one of the nearest before
+    and after has it. -1 where the key has no other document; all of the context where the nearest is beyond the rows."""
     n = len(key)
-    rows = np.arange(n)
     new = np.ones(n, bool)
-    new[1:] = doc[1:] != doc[:-1]
-    before = np.maximum.accumulate(np.where(new, rows, 0)) - 1
-    ends = np.append(new[1:], True)
-    after = np.minimum.accumulate(np.where(ends, rows, n)[::-1])[::-1] + 1
-    start, end, other = pos.copy(), pos.copy(), np.full(n, np.iinfo(np.int64).max)
-    for j in (before, after):
-        ok = np.flatnonzero((j >= 0) & (j < n))
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    heads, run = np.flatnonzero(new), np.cumsum(new) - 1
+    best = np.full(n, -1)
+    for j in (heads[run] - 1, np.append(heads[1:], n)[run]):
+        inside = (j >= 0) & (j < n)
+        best[~inside] = right.shape[1]
+        ok = np.flatnonzero(inside)
         ok = ok[key[ok] == key[j[ok]]]
-        r, m = k + _shared(right[ok], right[j[ok]]), _shared(left[ok], left[j[ok]])
-        good = r + m >= span
-        ok, r, m = ok[good], r[good], m[good]
-        start[ok] = np.minimum(start[ok], pos[ok] - m)
-        end[ok] = np.maximum(end[ok], pos[ok] + r)
-        other[ok] = np.minimum(other[ok], doc[j[ok]])
-    found = np.flatnonzero(end > start)
-    return found, start[found], end[found], other[found]
-
-
-def _compare(batches: Iterator, k: int, span: int, edges: bool) -> Iterator:
-    """Spans of sorted suffixes; with edges also the suffixes at a partition's ends, which neighbours may follow or precede."""
+        best[ok] = np.maximum(best[ok], _shared(right[ok], right[j[ok]]))
+    return best
+
+
+def _prefixes(side: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, ... entries, a row for each length."""
+    out = np.zeros((side.shape[1] + 1, len(side)), np.uint64)
+    for j in range(side.shape[1]):
+        out[j + 1] = out[j] * np.uint64(0xD6E8FEB86659FD93) + side[:, j]
+    return mix(out)
+
+
+def _windows(batches: Iterator, k: int, span: int) -> Iterator:
+    """The windows of sorted suffixes that another document may hold: those whose part right of the gram is no longer than the
+    longest right context that another document shares."""
     import pyarrow as pa
 
-    def columns(t):
-        wide = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), ">u2").reshape(len(t), span - k)
-        return t.column("key").to_numpy(), wide("right"), wide("left"), t.column("doc_id").to_numpy(), t.column("pos").to_numpy()
+    reach = span - k
+    for b in batches:
+        if not b.num_rows:
+            continue
+        wide = lambda c: np.frombuffer(b"".join(b.column(c).to_pylist()), ">u2").reshape(-1, reach)  # noqa: B023, E731
+        key, doc, pos, held = (b.column(c).to_numpy() for c in ("key", "doc_id", "pos", "held"))
+        right = wide("right")
+        deep = depths(key, right, doc)
+        lead, many = held // span, held % span
+        many = np.where(deep < 0, 0, np.minimum(many, lead - reach + deep + 1))
+        rows = np.flatnonzero(many > 0)
+        if not len(rows):
+            continue
+        many = many[rows]
+        at = np.repeat(np.arange(len(rows)), many)
+        before = lead[rows][at] - (np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many))
+        rights, lefts = _prefixes(right[rows].astype(np.uint64)), _prefixes(wide("left")[rows].astype(np.uint64))
+        value = mix(mix(key[rows].view(np.uint64)[at] + rights[reach - before, at]) + lefts[before, at] * np.uint64(3) + before.astype(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(doc[rows][at]), pa.array(pos[rows][at] - before)], ["hash", "doc_id", "start"])
+
+
+def _repeats(batches: Iterator, edges: bool) -> Iterator:
+    """Of windows sorted by hash and document those whose hash has two documents, with the least other one met.
+
+    What later rows need of the last hash goes on to the next batch: all windows of its only document, or one window of each
+    of its first two, which then come out again. With edges the first and the last hash of the rows come out so too."""
+    import pyarrow as pa
 
-    def rows(t, start, end, other, edge):
-        spans = [pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(other, pa.int64()), pa.array([edge] * len(t), pa.bool_())]
-        return pa.RecordBatch.from_arrays([*spans, *(t.column(c).combine_chunks() for c in ("key", "right", "left", "doc_id", "pos"))], ["start", "end", "other", "edge", "key", "right", "left", "doc_id", "pos"])
+    def batch(t: np.ndarray, other: np.ndarray | None) -> pa.RecordBatch:
+        edge = other is None
+        last = pa.nulls(t.shape[1], pa.int64()) if edge else pa.array(other)
+        return pa.RecordBatch.from_arrays([*map(pa.array, t), last, pa.array(np.full(t.shape[1], edge))], ["hash", "doc_id", "start", "other", "edge"])
 
-    def ends(t, flip: bool):
-        docs = t.column("doc_id").to_numpy()
-        docs = docs[::-1] if flip else docs
-        unlike = np.flatnonzero(docs != docs[0])[:1].tolist()
-        at = sorted({len(t) - 1 - x if flip else x for x in [0, *unlike]})
-        none = [None] * len(at)
-        return rows(t.take(at), none, none, none, True)
+    def brief(group: np.ndarray) -> np.ndarray:
+        unlike = np.flatnonzero(group[1] != group[1, 0])[:1]
+        return group[:, [0, *unlike]] if len(unlike) else group
 
-    held, none = None, pa.nulls
-    first = True
+    t, first = np.zeros((3, 0), np.int64), edges
     for b in batches:
-        t = pa.Table.from_batches([b])
-        if not len(t):
+        if not b.num_rows:
             continue
-        if edges and first:
-            yield ends(t, False)
-        first = False
-        t = pa.concat_tables([held, t]) if held is not None else t
-        at, start, end, other = neighbours(*columns(t), k, span)
-        if len(at):
-            hit = t.take(at).set_column(t.schema.get_field_index("right"), "right", none(len(at), pa.binary())).set_column(t.schema.get_field_index("left"), "left", none(len(at), pa.binary()))
-            yield rows(hit, start, end, other, False)
-        held = t.slice(max(0, len(t) - 256))
-    if edges and held is not None:
-        yield ends(held, True)
+        t = np.concatenate([t, np.stack([b.column(c).to_numpy() for c in ("hash", "doc_id", "start")])], axis=1)
+        n = t.shape[1]
+        new = np.ones(n, bool)
+        new[1:] = t[0, 1:] != t[0, :-1]
+        heads, run = np.flatnonzero(new), np.cumsum(new) - 1
+        least = t[1, heads][run]
+        unlike = np.flatnonzero(t[1] != least)
+        second = np.full(len(heads), n)
+        np.minimum.at(second, run[unlike], unlike)
+        rows = np.flatnonzero(second[run] < n)
+        if len(rows):
+            yield batch(t[:, rows], np.where(t[1, rows] == least[rows], t[1, second[run[rows]]], least[rows]))
+        if first and len(heads) > 1:
+            yield batch(brief(t[:, : heads[1]]), None)
+            first = False
+        t = brief(t[:, heads[-1] :])
+    if edges and t.shape[1]:
+        yield batch(t, None)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, gram: int = 8) -> DataFrame:
@@ -144,10 +174,12 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, gram: int = 8) -> Da
 
     Words stand between white space and are compared as they are. Each window of min_words words keeps the position of its
     least gram; the suffixes there, cut to what decides a match of min_words, are range-partitioned by their content, so a
-    passage in a third of all documents is spread over many tasks, and sorted. Each suffix is compared with the nearest of
-    another document on both sides, also across the ends of partitions, and extended right and left. Spans that meet or
-    overlap are one row; other_doc_id is the smallest document met. Words are compared by hashes (64 bits for the gram, 16
-    for each further word). A passage counts once for each document that holds it; repeats within one document alone don't.
+    passage in a third of all documents is spread over many tasks, and sorted. The nearest of another document on both sides
+    tell how far right of its gram a suffix can be repeated. The windows within that go on by hash, are range-partitioned and
+    sorted in turn, and those that two documents hold are found whatever partition or batch they stand in. Repeated windows
+    that meet or overlap are one row; other_doc_id is the smallest document met. Words are compared by hashes (64 bits for the
+    gram, 16 for each further word, 64 for a window of these). A passage counts once for each document that holds it; repeats
+    within one document alone don't.
 
     Null, empty and shorter texts have no passage; null ids take no part; rows repeated with one id are one document. An
     empty table gives no rows; other columns are not read.
@@ -156,12 +188,12 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, gram: int = 8) -> Da
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     order = ["key", "right", "left", "doc_id", "pos"]
     suffixes = base.mapInArrow(lambda b: _suffixes(b, k, span), SUFFIX)
-    dealt = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = stored(dealt.mapInArrow(lambda b: _compare(b, k, span, True), SPAN), "suffix-spans")
-    rim = found.where("edge").select(*order).distinct().repartition(1).sortWithinPartitions(*order).mapInArrow(lambda b: _compare(b, k, span, False), SPAN)
-    spans = found.where("not edge").unionAll(rim).select("doc_id", "start", "end", "other")
-    past = Window.partitionBy("doc_id").orderBy("start", "end")
-    reach = F.max("end").over(past.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(past.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end"), F.min("other").alias("other_doc_id"))
+    windows = stored(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _windows(b, k, span), WINDOW), "suffix-windows")
+    order = ["hash", "doc_id", "start"]
+    found = stored(windows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _repeats(b, True), REPEAT), "suffix-repeats")
+    rim = found.where("edge").select(*order).repartition(1).sortWithinPartitions(*order).mapInArrow(lambda b: _repeats(b, False), REPEAT)
+    spans = found.where("not edge").unionAll(rim).select("doc_id", "start", "other")
+    past = Window.partitionBy("doc_id").orderBy("start")
+    islands = spans.withColumn("new", F.when(F.col("start") <= F.lag("start").over(past) + span, 0).otherwise(1)).withColumn("island", F.sum("new").over(past.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start_word"), (F.max("start") + span).alias("end"), F.min("other").alias("other_doc_id"))
     return merged.select("doc_id", "start_word", (F.col("end") - F.col("start_word")).alias("n_words"), "other_doc_id")

@@ -159,3 +159,25 @@ def test_repeated_passages_of_odd_tables(spark):
     long = " ".join(f"q{i}" for i in range(70))
     got = suffix_dedup.repeated_passages(table(spark, [(1, long), (1, long), (None, long), (2, None)])).collect()
     assert got == []
+
+
+def covered(rows):
+    got = defaultdict(set)
+    for r in rows:
+        got[r["doc_id"]].update(range(r["start_word"], r["start_word"] + r["n_words"]))
+    return got
+
+
+def test_repeated_passages_of_edited_copies_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for share in (0.01, 0.02, 0.03):
+        for _ in range(3):
+            base = [f"v{rng.randint(0, 5000)}" for _ in range(300)]
+            rows += [" ".join(f"e{rng.randint(0, 10**6)}" if rng.random() < share else w for w in base) for _ in range(14)]
+    for _ in range(60):  # a third text with a longer right and a shorter left match than the true partner
+        p, x, y = ([f"{c}{rng.randint(0, 10**6)}" for _ in range(n)] for c, n in (("p", 60), ("x", 20), ("y", 20)))
+        rows += [" ".join(t) for t in (x + p + y, [w + "u" for w in x] + p + [w + "v" for w in y], [w + "w" for w in x] + p[20:] + y[:5])]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    assert covered(suffix_dedup.repeated_passages(table(spark, rows)).collect()) == {i: s for i, s in repeated(rows, 50).items() if s}
