@@ -181,3 +181,18 @@ def test_repeated_passages_of_edited_copies_equal_brute_force(spark):
     rng.shuffle(rows)
     rows = list(enumerate(rows))
     assert covered(suffix_dedup.repeated_passages(table(spark, rows)).collect()) == {i: s for i, s in repeated(rows, 50).items() if s}
+
+
+def test_repeated_passages_wherever_batches_and_partitions_end(spark):
+    line = [f"l{i}" for i in range(40)]
+    rows = [(1, " ".join(line * 60)), (2, " ".join(line * 60)), (3, " ".join(["same"] * 900)), (4, " ".join(["same"] * 700)), (5, " ".join(line * 2 + ["end"] * 60))]
+    want = {i: s for i, s in repeated(rows, 50).items() if s}
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "50", "spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {c: spark.conf.get(c, None) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        assert covered(suffix_dedup.repeated_passages(table(spark, rows)).collect()) == want
+    finally:
+        for c, v in was.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
