@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,33 +38,78 @@ def tempered(cells: DataFrame, axis: str, temperature: float) -> DataFrame:
     return share.join(F.broadcast(total)).select(axis, (F.col("t") / F.col("total")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tol: float = 1e-6, max_rounds: int = 40, rounds_a_job: int = 4) -> DataFrame:
-    """cells (one row per source, language and topic; n > 0 tokens) with w, whose marginals are the targets'.
+def _filled(rows: DataFrame, by: Column, total: Column) -> DataFrame:
+    """Scales u > 0 by one factor a group so that the sum of least(n, u) is total, or all of n where that is less.
 
-    Each round scales w by target over sum along each axis. Some rounds form one job; then the largest gap of a marginal is
-    looked at (one number), until it is below tol. Marginals that contradict each other end at max_rounds.
+    The sum grows with the factor and bends where a row reaches n; rows whose bend lies within total are whole."""
+    group = Window.partitionBy(by)
+    past = group.orderBy(F.desc("fill"))  # the frame takes in rows of equal fill
+    rows = rows.withColumn("fill", F.col("u") / F.col("n")).withColumn("bend", F.sum("n").over(past) + (F.sum("u").over(group) - F.sum("u").over(past)) / F.col("fill"))
+    whole = F.col("bend") <= total
+    left = F.sum(F.when(whole, 0.0).otherwise(F.col("u"))).over(group)
+    factor = F.when(left > 0, (total - F.sum(F.when(whole, F.col("n")).otherwise(0.0)).over(group)) / F.when(left > 0, left)).otherwise(1 / F.min("fill").over(group))
+    return rows.withColumn("u", F.col("u") * factor).drop("fill", "bend")
+
+
+def feasible(cells: DataFrame, axis: str, targets: DataFrame, budget: float) -> DataFrame:
+    """(axis, goal): the share of all tokens to take of each value: budget split as the targets say, but no value beyond its own
+    tokens; what such values cannot give is split over the others as their targets say."""
+    held = cells.groupBy(axis).agg(F.sum("n").alias("n"))
+    rows = held.join(targets.withColumnRenamed(axis, "value"), F.col(axis).eqNullSafe(F.col("value"))).where("target > 0").select(axis, "n", F.col("target").cast("double").alias("u"))
+    return _filled(rows, F.lit(0), F.lit(budget)).select(F.col(axis).alias("value"), F.least("n", "u").alias(f"goal_{axis}"))
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, tol: float = 1e-6, max_rounds: int = 200, rounds_a_job: int = 4) -> DataFrame:
+    """cells (one row per source, language and topic; n > 0 tokens) with p <= 1, the part to take, so that the marginals of what
+    is taken are the targets' share of budget, or nearest to it where a value holds less (see feasible).
+
+    Each round scales along each axis; a cell that would exceed its tokens is whole and the others make up for it. Some rounds
+    form one job; then the largest gap of a marginal is looked at (one number), until it is below tol. Marginals that
+    contradict each other end at max_rounds. Gaps that remain are told in a warning.
     """
+    cells = cells.join(F.broadcast(cells.agg(F.sum("n").alias("all_n")))).withColumn("n", F.col("n") / F.col("all_n")).drop("all_n")
     for axis in AXES:
-        cells = cells.join(targets[axis].withColumnRenamed("target", f"target_{axis}"), cells[axis].eqNullSafe(targets[axis][axis])).drop(targets[axis][axis])
-    w = stored(cells.withColumn("w", F.col("n").cast("double")), "mix-cells")
+        goals = feasible(cells, axis, targets[axis], budget)
+        cells = cells.join(goals, cells[axis].eqNullSafe(goals["value"])).drop("value")
+    w = stored(cells.withColumn("u", F.col("n") * budget), "mix-cells")
     for _ in range(0, max_rounds, rounds_a_job):
         for _ in range(rounds_a_job):
             for axis in AXES:
-                w = w.withColumn("w", F.col("w") * F.col(f"target_{axis}") / F.sum("w").over(Window.partitionBy(axis)))
+                w = _filled(w, F.col(axis), F.col(f"goal_{axis}"))
         w = stored(w, "mix-round")
-        gaps = [w.groupBy(axis).agg(F.abs(F.sum("w") - F.first(f"target_{axis}")).alias("gap")).select("gap") for axis in AXES]
+        gaps = [w.groupBy(axis).agg(F.abs(F.sum(F.least("n", "u")) - F.first(f"goal_{axis}")).alias("gap")).select("gap") for axis in AXES]
         worst = reduce(DataFrame.unionAll, gaps).agg(F.max("gap")).first()[0]
-        if worst is None or worst < tol:
+        if worst is None or worst < tol * budget:
             break
+    w = w.withColumn("p", F.least(F.lit(1.0), F.col("u") / F.col("n")))
+    missed = {axis: shares(w.withColumn("taken", F.col("n") * F.col("p")), axis, targets[axis]).where(F.abs(F.col("share") - F.col("target")) > 10 * tol).count() for axis in AXES}
+    if any(missed.values()):
+        warnings.warn(f"mixing: values whose share is not the target at a budget of {budget:g}: {missed}; see gaps()", stacklevel=3)
     return w
 
 
+def shares(taken: DataFrame, axis: str, targets: DataFrame) -> DataFrame:
+    """(axis, value, target, share) of expected tokens taken; targets are scaled to sum to 1."""
+    got = taken.groupBy(F.col(axis).alias("got")).agg(F.sum("taken").alias("taken"))
+    both = targets.join(got, F.col(axis).eqNullSafe(F.col("got")), "full")
+    sums = both.agg(F.sum("target").alias("all_target"), F.sum("taken").alias("all_taken"))
+    part = lambda c: F.coalesce(F.try_divide(c, f"all_{c}"), F.lit(0.0)).cast("double").alias("share" if c == "taken" else c)
+    return both.join(F.broadcast(sums)).select(F.lit(axis).alias("axis"), F.coalesce(axis, "got").alias("value"), part("target"), part("taken"))
+
+
+def gaps(mixed: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = 0.7) -> DataFrame:
+    """(axis, value, target, share): the targets and what mix_sources' rows are expected to hold of each value."""
+    cells = mixed.where("n_tokens > 0").groupBy(*AXES).agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("probability")).alias("taken"))
+    return reduce(DataFrame.unionAll, (shares(cells, axis, targets[axis] if targets else tempered(cells, axis, temperature)) for axis in AXES))
+
+
 def mix_sources(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = 0.5, temperature: float = 0.7, seed: int = 7, topic: str | None = None) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, probability, selected.
 
     Token weights are raked to the marginals of source, language and topic; targets gives (axis value, target) tables, else
-    tempered shares are used. A document of a cell is taken with probability min(1, budget * raked share / own share), by a
-    hash of seed and id: the same on every run and executor. Cells whose probability is cut at 1 are taken whole. Null
+    tempered shares are used. A document of a cell is taken with probability budget * raked share / own share, by a hash of
+    seed and id: the same on every run and executor. Where that exceeds 1 the cell is taken whole and the others are raked to
+    what is left of each marginal, so that budget of all tokens is kept (see rake); gaps() compares shares with targets. Null
     sources, languages and topics are values of their own. Empty and null texts have no tokens and are never selected. Rows
     repeated with one id share their lot. An empty table gives no rows. topic names a column; else topic_of() is used.
     """
@@ -72,10 +118,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, DataFrame] | None = None, bu
     base = stored(base, "mix-docs")
     cells = stored(base.where("n_tokens > 0").groupBy(*AXES).agg(F.sum("n_tokens").alias("n")), "mix-sums")
     targets = targets or {axis: tempered(cells, axis, temperature) for axis in AXES}
-    raked = rake(cells, targets)
-    total = raked.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    ratio = (F.col("w") / F.col("all_w")) / (F.col("n") / F.col("all_n"))
-    odds = raked.join(F.broadcast(total)).select(*(F.col(a).alias(f"cell_{a}") for a in AXES), F.least(F.lit(1.0), F.lit(budget) * ratio).alias("p"))
+    odds = rake(cells, targets, budget).select(*(F.col(a).alias(f"cell_{a}") for a in AXES), "p")
     same = reduce(Column.__and__, (F.col(a).eqNullSafe(F.col(f"cell_{a}")) for a in AXES))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     chance = F.when(F.col("n_tokens") > 0, F.coalesce("p", F.lit(0.0))).otherwise(0.0)

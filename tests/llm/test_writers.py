@@ -162,3 +162,31 @@ def test_raking_meets_the_targets_and_brute_force(spark):
     again = {r["doc_id"] for r in mixing.mix_sources(df.repartition(7)).where("selected").collect()}
     assert again == {r["doc_id"] for r in got if r["selected"]}
     assert mixing.mix_sources(df.where(F.lit(False))).collect() == []
+
+
+def test_raking_makes_up_for_cells_taken_whole(spark):
+    rng = random.Random(3)
+    rows, sources = [], {"big": 500, "mid": 160, "rare": 40}
+    for source, many in sources.items():
+        for _ in range(many):
+            rows.append((len(rows), "wort " * rng.randint(70, 90), "de" if rng.random() < 0.3 else "en", source, 1, "x", "x"))
+    df = spark.createDataFrame(rows, DOCS)
+    want = {"source": {"big": 0.55, "mid": 0.35, "rare": 0.1}, "lang": {"de": 0.45, "en": 0.55}, "topic": {"prose": 1.0}}
+    targets = {a: spark.createDataFrame(list(t.items()), f"{a} string, target double") for a, t in want.items()}
+    got = mixing.mix_sources(df, targets)
+    assert got.where("probability = 1").count() > 0 and got.agg(F.max("probability")).first()[0] <= 1
+    for r in mixing.gaps(got, targets).collect():
+        assert r["target"] == pytest.approx(want[r["axis"]][r["value"]]) and abs(r["share"] - r["target"]) < 1e-4
+    kept = got.agg(F.sum(F.col("n_tokens") * F.col("probability")) / F.sum("n_tokens")).first()[0]
+    assert abs(kept - 0.5) < 1e-4
+
+
+def test_raking_tells_of_targets_beyond_what_is_held(spark):
+    rows = [(i, "wort " * 70, "en", "rare" if i < 10 else "big" if i < 600 else "mid", 1, "x", "x") for i in range(1000)]
+    df = spark.createDataFrame(rows, DOCS)
+    want = {"source": {"big": 0.4, "mid": 0.4, "rare": 0.2}, "lang": {"en": 1.0}, "topic": {"prose": 1.0}}
+    targets = {a: spark.createDataFrame(list(t.items()), f"{a} string, target double") for a, t in want.items()}
+    with pytest.warns(UserWarning, match="not the target"):
+        got = mixing.mix_sources(df, targets)
+    share = {r["value"]: r["share"] for r in mixing.gaps(got, targets).where("axis = 'source'").collect()}
+    assert share == pytest.approx({"big": 0.49, "mid": 0.49, "rare": 0.02}, abs=1e-5)
