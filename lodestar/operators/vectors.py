@@ -9,8 +9,10 @@ from pyspark.sql.types import ArrayType, FloatType
 
 #: Fixed value: the constant of reciprocal-rank fusion.
 RRF_K = 60
-#: Query vectors that one ranking sends to all tasks.
-MAX_QUERIES = 4096
+#: Vectors of a block; a step scores one block of queries against one block of vectors.
+BLOCK = 1024
+#: More than rounding to nine digits moves a score.
+ROUNDING = 2e-9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,15 +34,47 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
+def _blocks(vectors: DataFrame, prefix: str) -> DataFrame:
+    """Unit vectors packed by BLOCK, in doubles: (ids, data); shuffled, so that pairs of partitions read them and don't make them."""
+    import numpy as np
+
+    def pack(batches):
+        for b in batches:
+            for i in range(0, len(b), BLOCK):
+                part = b.iloc[i : i + BLOCK]
+                yield pd.DataFrame({f"{prefix}_ids": [part["id"].to_numpy()], f"{prefix}_data": [np.stack(part["unit"].to_list()).astype(float).tobytes()]})
+
+    rows = vectors.where("embedding is not null").select(F.col("vec_id").cast("long").alias("id"), unit(F.col("embedding")).alias("unit"))
+    return rows.mapInPandas(pack, f"{prefix}_ids array<long>, {prefix}_data binary").repartition(f"{prefix}_ids")
+
+
 def cosine_ranking(vectors: DataFrame, queries: DataFrame, k: int, floor: float | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): each query vector against all others, best first, ties by id as text.
 
-    queries is a stated set, checked to be small, that goes to all tasks; the floor is applied before ranking."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; rank them in parts")
-    q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q"))
-    v = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
-    scored = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 9).alias("score"))
+    Any number of queries: each block of them meets each block of vectors once, and of a pair of blocks only what can be among
+    a query's first k goes on. The floor is applied before ranking. Null vectors take no part; sizes must be equal."""
+    import numpy as np
+
+    def score(batches):
+        for b in batches:
+            for q_ids, q_data, v_ids, v_data in zip(b["q_ids"], b["q_data"], b["v_ids"], b["v_data"], strict=True):
+                q, v = (np.ascontiguousarray(np.frombuffer(d).reshape(len(i), -1).T) for i, d in ((q_ids, q_data), (v_ids, v_data)))
+                if len(q) != len(v):
+                    raise ValueError("vectors of unlike sizes")
+                total = np.zeros((q.shape[1], v.shape[1]))
+                for x, y in zip(q, v, strict=True):  # one after another, as the expression over the arrays adds
+                    total += x[:, None] * y
+                keep = np.asarray(q_ids)[:, None] != np.asarray(v_ids)
+                if floor is not None:
+                    keep &= total >= floor - ROUNDING
+                if k < total.shape[1]:
+                    least = np.partition(np.where(keep, total, -np.inf), -k, axis=1)[:, -k]
+                    keep &= total >= least[:, None] - ROUNDING
+                at, to = np.nonzero(keep)
+                yield pd.DataFrame({"query_id": np.asarray(q_ids)[at], "vec_id": np.asarray(v_ids)[to], "raw": total[at, to]})
+
+    pairs = _blocks(vectors, "v").crossJoin(_blocks(queries, "q"))
+    scored = pairs.mapInPandas(score, "query_id long, vec_id long, raw double").select("query_id", "vec_id", F.round("raw", 9).alias("score"))
     if floor is not None:
         scored = scored.where(F.col("score") >= floor)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").cast("string")))

@@ -184,6 +184,20 @@ def cosine_floor(spark, sf_dir):
     return V.cosine_ranking(e, e.where("vec_id in (0, 7, 42)"), 10, floor=0.7)
 
 
+@query()
+def cosine_topk_all(spark, sf_dir):
+    """Every row with an id divisible by 20 against all rows."""
+    e = table(spark, sf_dir, "embeddings")
+    return V.cosine_ranking(e, e.where("vec_id % 20 = 0"), 10)
+
+
+@query()
+def cosine_floor_all(spark, sf_dir):
+    """As cosine_topk_all, from a score of 0.7."""
+    e = table(spark, sf_dir, "embeddings")
+    return V.cosine_ranking(e, e.where("vec_id % 20 = 0"), 10, floor=0.7)
+
+
 @query(f"""
     WITH {_TOKENS}, {_ASKED},
     lex AS (SELECT id, row_number() OVER (ORDER BY round(sum({_PART}), 9) DESC, id) AS rank FROM q JOIN p USING (term) JOIN d USING (term), s WHERE query_id = 'q1' GROUP BY id),

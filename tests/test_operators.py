@@ -264,3 +264,26 @@ def test_streams(spark, tmp_path):
     assert streams.bounded(many, 3).first()["events"] == 3
     with pytest.raises(Exception, match="over its bounds"):
         streams.bounded(many, 2).collect()
+
+
+def test_cosine_ranking_of_many_queries_in_blocks(spark, sf, monkeypatch):
+    import numpy as np
+
+    from lodestar.plans import catalog
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in e.collect()}
+    ids = sorted(rows)
+    u = np.stack([rows[i] / np.sqrt((rows[i] ** 2).sum()) for i in ids])
+    dots = u @ u.T
+    for floor, name in ((None, "cosine_topk_all"), (0.7, "cosine_floor_all")):
+        monkeypatch.setattr(vectors, "BLOCK", 7)
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 7)) for r in catalog.QUERIES[name](spark, sf).collect()}
+        want = {}
+        for q in (i for i in ids if i % 20 == 0):
+            scored = sorted((-round(float(d), 9), str(i), i) for i, d in zip(ids, dots[ids.index(q)], strict=True) if i != q and (floor is None or round(float(d), 9) >= floor))
+            want |= {(q, n): (i, round(-s, 7)) for n, (s, _, i) in enumerate(scored[:10], 1)}
+        assert got == want
+    many = spark.range(4100).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    monkeypatch.setattr(vectors, "BLOCK", 1024)
+    assert vectors.cosine_ranking(many, many, 1).count() == 4100
