@@ -120,8 +120,7 @@ def audit_claims(claims: DataFrame, quotes: DataFrame) -> DataFrame:
     held = joined.groupBy("claim_id").agg(F.bool_or("hit").alias("held"))
     joined = joined.join(held, "claim_id")
     sought = joined.where("not held").withColumn("candidate", F.explode_outer(F.array_distinct(F.concat(F.array("quote"), F.coalesce(sentences("quote"), F.array().cast("array<string>"))))))
-    near = F.abs(F.length("candidate") - F.length("claim")) <= 64  # values and words of negation of one fact are shorter
-    joined = joined.where("held").withColumn("candidate", F.lit(None).cast("string")).unionByName(sought.withColumn("candidate", F.when(near, F.col("candidate"))))
+    joined = joined.where("held").withColumn("candidate", F.lit(None).cast("string")).unionByName(sought)
     exact = F.col("hit")
     flags = {k: F.coalesce(F.bool_or(c), F.lit(False)).alias(f"x_{k}") for k, c in audit_pair(F.col("claim"), F.col("candidate")).items()}
     per = joined.groupBy("claim_id", "claim").agg(F.coalesce(F.bool_or(exact), F.lit(False)).alias("exact"), *flags.values())

@@ -287,3 +287,14 @@ def test_cosine_ranking_of_many_queries_in_blocks(spark, sf, monkeypatch):
     many = spark.range(4100).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
     monkeypatch.setattr(vectors, "BLOCK", 1024)
     assert vectors.cosine_ranking(many, many, 1).count() == 4100
+
+
+def test_audit_of_values_that_differ_by_any_length(spark):
+    pairs = [
+        ("repeated", "Codes: " + "7, " * 40 + "end.", "Codes: " + "123456, " * 40 + "end."), ("marks", "The gate fee is 7 coins.", "The gate fee is 8 coins" + "." * 90),
+        ("spaces", "The gate fee is 7 coins.", "The gate fee is" + " " * 90 + "8 coins."), ("other", "The gate fee is 7 coins.", "The gate fee is 8 coins" + " and more" * 20 + "."),
+    ]
+    claims = spark.createDataFrame([p[:2] for p in pairs], "claim_id string, claim string")
+    quotes = spark.createDataFrame([(p[0], p[2]) for p in pairs], "claim_id string, quote string")
+    got = {r["claim_id"]: (r["status"], r["numbers"]) for r in evidence.audit_claims(claims, quotes).collect()}
+    assert got == {k: ("contradicted", "conflict") for k in ("repeated", "marks", "spaces")} | {"other": ("unknown", "unresolved")}
