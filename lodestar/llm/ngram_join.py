@@ -1,9 +1,12 @@
-"""Exact n-gram Jaccard join: T-occurrence search by DivideSkip within groups that a prefix filter makes."""
+"""Exact n-gram Jaccard join: T-occurrence search by DivideSkip within groups that share a part of their shingle sets."""
 
 from __future__ import annotations
 
+import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -12,10 +15,10 @@ from pyspark.sql import functions as F
 from .common import mix, shingle_hashes, stored, text_steps, word_hashes
 from .components import connected_components
 
-#: Sets and shingles of one search block; members of one block of a list; DivideSkip's weight of a probe.
-BLOCK_SETS, BLOCK_SHINGLES, LIST_BLOCK, PROBE = 1000, 2_000_000, 1000, 0.5
-#: Shingles that are ordered last by their counts, as far as they are met often; the number bounds the broadcast.
-FREQUENT, OFTEN = 262_144, 50
+#: Sets and shingles of one search block; members of one list, or of one block of a longer one; DivideSkip's weight of a probe.
+BLOCK_SETS, BLOCK_SHINGLES, LIST_BLOCK, PROBE = 1000, 1_000_000, 1000, 0.5
+#: Least number of parts that a set is cut into, and the growth from one number to the next.
+PARTS, GROWTH = 4, 1.5
 EDGES = "a long, b long"
 
 
@@ -36,147 +39,166 @@ def least_overlap(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """Bit i: whether an odd number of the set's hashes ends in i. Of two sets, bits that differ are at most elements that
+def most_apart(n: int, num: int, den: int) -> int:
+    """Shingles, at most, that a set of n and a larger one it links with don't share: (1 - t) / (1 + t) of both sizes, where the
+    larger has at most n / t."""
+    return n * (den - num) // num
+
+
+def parity(mixed: np.ndarray) -> np.ndarray:
+    """Bit i: whether an odd number of the set's mixed hashes ends in i. Of two sets, bits that differ are at most elements that
     differ, so they bound the overlap from above. Sizes are powers of two and fold by xor of the halves."""
-    bits = 1 << max(6, (4 * len(s) - 1).bit_length())
-    return np.packbits(np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+    bits = 1 << max(6, (len(mixed) - 1).bit_length())
+    return np.packbits(np.bincount((mixed & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
 
 
-def _common(batches: Iterator, k: int) -> Iterator:
-    """Shingles that many documents of a batch hold, with the number."""
-    import pyarrow as pa
+@cache
+def _edges(parts: int) -> np.ndarray:
+    """The hashes at which each part begins."""
+    return np.array([(i << 64) // parts for i in range(parts)], np.uint64)
+
+
+@cache
+def _level(need: int) -> int:
+    level, parts = 0, PARTS
+    while parts < need:
+        level, parts = level + 1, math.ceil(parts * GROWTH)
+    return level
 
-    for b in batches:
-        found = [s for s in sets_of(b.column("text"), k) if len(s)]
-        if found:
-            h, n = np.unique(np.concatenate(found), return_counts=True)
-            keep = n >= max(3, len(found) // 2000)
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h[keep].view(np.int64)), "n": pa.array(n[keep])})
 
+def _need(apart: int) -> int:
+    """Parts for sets that differ in so many shingles: two more, and a tenth for parts that are empty."""
+    return apart + 2 + -(-apart // 10)
 
-def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """The most frequent shingles over all documents, by falling count: all that are in a fair share of any batch."""
-    counted = docs.select("text").mapInArrow(lambda b: _common(b, k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    return np.array([r["h"] for r in rows], np.int64).view(np.uint64)
 
+@cache
+def _parts(level: int) -> tuple[int, int]:
+    """The number of parts of a level, and the most shingles that sets may differ in for it."""
+    parts = PARTS
+    for _ in range(level):
+        parts = math.ceil(parts * GROWTH)
+    return parts, max(d for d in range(parts) if _need(d) <= parts)
 
-def prefix(s: np.ndarray, rank: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
-    """The first shingles of a set in the common order (by hash, then the frequent ones, rarest first), as many as make two
-    linked sets share one."""
-    values, place = rank
-    if len(values):
-        at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-        often = values[at] == s
-        s = np.concatenate([s[~often], s[often][np.argsort(-place[at[often]])]])
-    return s[: len(s) - least_overlap(len(s), num, den) + 1]
+
+def part_keys(s: np.ndarray, mixed: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of which any two linked, unequal sets share two at least.
+
+    The smaller set's size sets the number of parts that both are cut into by ranges of the hash: more than the shingles that
+    they don't share, by two or more, so at least two parts are equal. A set of n meets smaller ones down to t * n, so it
+    has the keys of each number of parts that those call for. Empty parts have no key, but where a set has so many that fewer
+    than two others need be equal: then they count as parts like others, and so they do in its partner.
+    """
+    need = lambda m: _need(most_apart(m, num, den))
+    n = len(s)
+    if not most_apart(n, num, den):
+        return np.zeros(0, np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+    out = []
+    for level in range(_level(need(least_overlap(n, num, den))), _level(need(n)) + 1):
+        parts, apart = _parts(level)
+        at = np.append(np.searchsorted(s, _edges(parts)), n)
+        name = mix(np.arange(parts, dtype=np.uint64) + np.uint64(parts << 32))
+        keys = mix((sums[at[1:]] - sums[at[:-1]]) ^ name)
+        full = at[1:] > at[:-1]
+        out.append(keys if full.sum() < min(apart, most_apart(n, num, den)) + 2 else keys[full])
+    return np.concatenate(out)
 
 
 def sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(row, doc_id, n, d1, d2, pre, bits, low): size, 128-bit digest, prefix, parity bits and least hash of each document's set."""
-    often = frequent_shingles(docs, k)
-    shipped = docs.sparkSession.sparkContext.broadcast(often)
+    """(row, doc_id, n, d1, d2, keys, bits, low): size, 128-bit digest, part keys, parity bits and least hash of each document's set."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        order = np.argsort(shipped.value)
-        rank = shipped.value[order], order
         for b in batches:
             ids = b.column("doc_id")
             for at in range(0, len(ids), 2000):
                 found = list(sets_of(b.column("text").slice(at, 2000), k))
+                mixed = [mix(s) for s in found]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": ids.slice(at, 2000), "n": pa.array([len(s) for s in found], pa.int64()),
-                        "d1": pa.array([int(mix(s).sum().view(np.int64)) for s in found], pa.int64()), "d2": pa.array([int(mix(s ^ np.uint64(0xA5A5A5A5)).sum().view(np.int64)) for s in found], pa.int64()),
-                        "pre": pa.array([prefix(s, rank, num, den).view(np.int64) for s in found], pa.list_(pa.int64())), "bits": [parity(s).tobytes() for s in found], "low": pa.array([s[0].view(np.int64).item() if len(s) else None for s in found], pa.int64()),
+                        "d1": pa.array([int(m.sum().view(np.int64)) for m in mixed], pa.int64()), "d2": pa.array([int(mix(s ^ np.uint64(0xA5A5A5A5)).sum().view(np.int64)) for s in found], pa.int64()),
+                        "keys": pa.array([part_keys(s, m, num, den).view(np.int64) for s, m in zip(found, mixed, strict=True)], pa.list_(pa.int64())),
+                        "bits": [parity(m).tobytes() for m in mixed], "low": pa.array([s[0].view(np.int64).item() if len(s) else None for s in found], pa.int64()),
                     }
                 )
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, pre array<long>, bits binary, low long")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>, bits binary, low long")
     return stored(base.withColumn("row", F.monotonically_increasing_id()), "join-sketches")
 
 
-class Forest:
-    """Union-find over the numbers below n; the smaller root stays."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
+def t_occurrence(lists: list[list[int]], low: int, need: int) -> Iterator[tuple[int, int]]:
+    """(id, number of lists) of the ids from ``low`` on that are in ``need`` of the sorted lists at least.
 
-    def roots(self) -> np.ndarray:
-        while not np.array_equal(nxt := self.up[self.up], self.up):
-            self.up = nxt
-        return self.up
+    DivideSkip: the L longest lists are put by; the others are merged by a heap of their fronts. An id in need - L of them or
+    more is probed for in the long ones by binary search; else need - L - 1 fronts are popped and each jumps to the new top,
+    past ids that can't be in enough lists.
+    """
+    lists = sorted(lists, key=len)
+    n_long = min(need - 1, int(need / (PROBE * math.log2(len(lists[-1]) + 1) + 1)))
+    short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+    least = need - n_long
+    places = [bisect_left(x, low) for x in short]
+    heap = [(x[p], i) for i, (x, p) in enumerate(zip(short, places, strict=True)) if p < len(x)]
+    heapq.heapify(heap)
+    while len(heap) >= least:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap)[1])
+        if len(popped) >= least:
+            total = len(popped)
+            for left, x in zip(range(n_long - 1, -1, -1), reversed(long_), strict=True):
+                p = bisect_left(x, top)
+                total += p < len(x) and x[p] == top
+                if total + left < need:
+                    break
+            if total >= need:
+                yield top, total
+            to = top + 1
+        else:
+            while heap and len(popped) < least - 1:
+                popped.append(heapq.heappop(heap)[1])
+            if not heap:
+                return
+            to = heap[0][0]
+        for i in popped:
+            places[i] = p = bisect_left(short[i], to, places[i])
+            if p < len(short[i]):
+                heapq.heappush(heap, (short[i][p], i))
 
 
 def link_block(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Component of each set under links, by T-occurrence search among the sets of a block.
+    """Component of each set under links, as its least member, by T-occurrence search among the sets of a block.
 
-    Sets are queried by rising size against those before them, so a match shares at least T = least_overlap of the query's
-    size. DivideSkip: the L longest of the query's inverted lists are put by; the short ones are merged (the ids are a dense
-    range, so counting them all at once does the heap's work), sets met T - L times or more are probed for in the long
-    lists by binary search, and those that reach the overlap link. Sets already in the query's component are passed over.
+    Sets are queried by rising size against the inverted lists of those before them, so a match shares at least least_overlap
+    of the query's size. A query ends as soon as all that it could still meet are in its component.
     """
     n = len(sets)
     order = sorted(range(n), key=lambda i: (len(sets[i]), i))
     sizes = np.array([len(sets[i]) for i in order])
-    owner = np.repeat(np.arange(n), sizes)
-    all_ = np.concatenate([sets[i] for i in order])
-    by = np.argsort(all_, kind="stable")
-    values, start, count = np.unique(all_[by], return_index=True, return_counts=True)
-    posting = owner[by]
-    lists_of = np.searchsorted(values, all_)
+    values, inverse, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
     ends = np.cumsum(sizes)
-    forest = Forest(n)
-    for i in range(1, n):
-        own = lists_of[ends[i] - sizes[i] : ends[i]]
+    lists: dict[int, list[int]] = {}
+    comp = np.arange(n)
+    for i in range(n):
+        own = inverse[ends[i] - sizes[i] : ends[i]]
+        own = own[count[own] > 1].tolist()
         need = least_overlap(int(sizes[i]), num, den)
         low = int(np.searchsorted(sizes[:i], need))
-        if low == i:
-            continue
-        own = own[count[own] > 1]
-        if len(own) < need:
-            continue
-        own = own[np.argsort(count[own], kind="stable")]
-        longest = int(count[own[-1]])
-        n_long = min(need - 1, int(need / (PROBE * math.log2(longest + 1) + 1)))
-        short, long_ = own[: len(own) - n_long], own[len(own) - n_long :]
-        lens = count[short]
-        flat = posting[np.repeat(start[short] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
-        met = np.bincount(flat[flat < i], minlength=i)
-        cand = np.flatnonzero(met >= need - n_long)
-        cand = cand[cand >= low]
-        if not len(cand):
-            continue
-        root = forest.find(i)
-        total = met[cand]
-        for at, x in enumerate(long_):
-            ids = posting[start[x] : start[x] + count[x]]
-            total = total + (ids[np.minimum(np.searchsorted(ids, cand), len(ids) - 1)] == cand)
-            if at % 16 == 15:
-                live = total >= need - (n_long - at - 1)
-                cand, total = cand[live], total[live]
-                if not len(cand):
-                    break
-        for j in cand[den * total >= num * (sizes[i] + sizes[cand] - total)]:
-            if forest.find(int(j)) != root:
-                forest.join(i, int(j))
-                root = forest.find(i)
-    roots = forest.roots()
-    out = np.empty(n, np.int64)
-    out[order] = np.array(order)[roots]
+        met = [lists[x] for x in own if x in lists] if low < i and len(own) >= need else []
+        if len(met) >= need:
+            for j, both in t_occurrence(met, low, need):
+                if comp[j] != comp[i] and den * both >= num * (sizes[i] + sizes[j] - both):
+                    comp[comp == max(comp[i], comp[j])] = min(comp[i], comp[j])
+                    if (comp[low:i] == comp[i]).all():
+                        break
+        for x in own:
+            lists.setdefault(x, []).append(i)
+    back = np.array(order)
+    out, least = np.empty(n, np.int64), np.full(n, n)
+    np.minimum.at(least, comp, back)
+    out[back] = least[comp]
     return out
 
 
@@ -203,6 +225,7 @@ def _runs(batches: Iterator, keys: list[str]) -> Iterator:
 
 
 def _search(batches: Iterator, k: int, num: int, den: int) -> Iterator:
+    """Star edges of the components of each group of rows (key, block, cid, d1, text)."""
     import pyarrow as pa
 
     for t in _runs(batches, ["key", "block"]):
@@ -218,6 +241,12 @@ def _search(batches: Iterator, k: int, num: int, den: int) -> Iterator:
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
 
+def searched(groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Edges (a, b) that T-occurrence search finds in each group of (key, block, cid, d1, text)."""
+    dealt = groups.select("key", "block", "cid", "d1", "text").repartition("key", "block").sortWithinPartitions("key", "block")
+    return dealt.mapInArrow(lambda b: _search(b, k, num, den), EDGES)
+
+
 def _unpack(bits: list[bytes], size: int) -> np.ndarray:
     out = np.zeros((len(bits), size // 8), np.uint8)
     for i, b in enumerate(bits):
@@ -229,17 +258,16 @@ def _unpack(bits: list[bytes], size: int) -> np.ndarray:
 
 
 def _suspects(batches: Iterator, num: int, den: int, best: bool) -> Iterator:
-    """Pairs of a list whose components differ and whose sizes and parity bits allow a link, each in the first list alone that
-    both are in. With best only as many, the likeliest first, as would join the list's components if all were links."""
+    """Pairs (a, b) of a list (key, i, j) whose components differ and whose sizes and parity bits allow a link. With best only as
+    many, the likeliest first, as would join the list's components if all were links."""
     import pyarrow as pa
 
-    for t in _runs(batches, ["h", "i", "j"]):
+    for t in _runs(batches, ["key", "i", "j"]):
         n, cid, comp, blk = (t.column(c).to_numpy() for c in ("n", "cid", "comp", "blk"))
-        h, i, j = (t.column(c)[0].as_py() for c in ("h", "i", "j"))
-        bits, lists = t.column("bits").to_pylist(), t.column("lists").to_pylist()
+        key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
+        bits = t.column("bits").to_pylist()
         order = np.lexsort((cid, n))
-        n, cid, comp, blk, bits, lists = n[order], cid[order], comp[order], blk[order], [bits[x] for x in order], [lists[x] for x in order]
-        earlier = [frozenset(x[: x.index(h)]) for x in lists]
+        n, cid, comp, blk, bits = n[order], cid[order], comp[order], blk[order], [bits[x] for x in order]
         out = []
         for x in range(1, len(n)):
             low = int(np.searchsorted(n[:x], least_overlap(int(n[x]), num, den)))
@@ -250,66 +278,71 @@ def _suspects(batches: Iterator, num: int, den: int, best: bool) -> Iterator:
                 differ = np.bitwise_count(_unpack([bits[z] for z in y], size) ^ _unpack([bits[x]], size)).sum(1, dtype=np.int64)
                 most = (n[x] + n[y] - differ) // 2
                 ok = den * most >= num * (n[x] + n[y] - most)
-                out += [(float(m / n[x]), x, int(z)) for z, m in zip(y[ok], most[ok], strict=True) if earlier[x].isdisjoint(earlier[z])]
+                out += [(float(m / n[x]), x, int(z)) for z, m in zip(y[ok], most[ok], strict=True)]
         if best and out:
-            place = {c: at for at, c in enumerate(np.unique(comp).tolist())}
-            forest, kept = Forest(len(place)), []
+            joined, kept = {c: c for c in comp.tolist()}, []
             for pair in sorted(out, reverse=True):
-                a, b = place[int(comp[pair[1]])], place[int(comp[pair[2]])]
-                if forest.find(a) != forest.find(b):
-                    forest.join(a, b)
+                a, b = joined[int(comp[pair[1]])], joined[int(comp[pair[2]])]
+                if a != b:
+                    joined = {c: a if r == b else r for c, r in joined.items()}
                     kept.append(pair)
             out = kept
         if out:
-            yield pa.RecordBatch.from_pydict({"h": pa.array([h] * len(out), pa.int64()), "a": pa.array([int(max(cid[x], cid[z])) for _, x, z in out], pa.int64()), "b": pa.array([int(min(cid[x], cid[z])) for _, x, z in out], pa.int64())})
+            ends = [(int(max(cid[x], cid[z])), int(min(cid[x], cid[z]))) for _, x, z in out]
+            yield pa.RecordBatch.from_pydict({"key": pa.array([key] * len(out), pa.int64()), "a": pa.array([a for a, _ in ends], pa.int64()), "b": pa.array([b for _, b in ends], pa.int64())})
 
 
-def _verify(batches: Iterator, k: int, num: int, den: int) -> Iterator:
-    import pyarrow as pa
+def posted_lists(classes: DataFrame) -> DataFrame:
+    """(key, cid): the lists of part keys that two classes or more have. Of lists of up to LIST_BLOCK members with the very same
+    members one is enough."""
+    by = Window.partitionBy("key")
+    posted = classes.select("cid", F.explode("keys").alias("key")).withColumn("m", F.count(F.lit(1)).over(by)).where("m > 1")
+    lists = stored(posted.select("key", "cid"), "join-posted")
+    members = lists.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("x2"))
+    alike = F.when(F.col("m") > LIST_BLOCK, F.col("key"))
+    single = members.groupBy("m", "x1", "x2", alike.alias("own")).agg(F.min("key").alias("key")).select("key")
+    return stored(lists.join(single, "key", "left_semi"), "join-lists")
 
-    for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            ok = []
-            for x, y in zip(sets_of(part.column("ta"), k), sets_of(part.column("tb"), k), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_pydict({"a": part.column("ca").filter(pa.array(ok)), "b": part.column("cb").filter(pa.array(ok))})
+
+def mixed_lists(lists: DataFrame) -> DataFrame:
+    """(key, cid, comp, m) of the lists (key, cid, comp) that hold two components, with the number of their members. Counts are
+    combined before the shuffle, so a hot key isn't gathered."""
+    sizes = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
+    return lists.join(sizes.where("lo <> hi").select("key", "m"), "key")
 
 
-def posted_lists(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(h, cid, n): the lists of prefix shingles that can give a pair.
+def residual_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: int, den: int, best: bool) -> DataFrame:
+    """(a, b) components that a link joins, from the lists whose members are not yet of one component.
 
-    Dropped are members with no other of the list near enough in size, which the next in order of size decide, and lists with
-    the very members of another: the shingles of a shared passage mostly have the same documents, and one list gives all
-    their pairs.
+    With best each component sends one member to a list, so few pairs are enough to join most. A list of more than LIST_BLOCK
+    members gives way to lists by two such keys: linked sets share two parts, and if one is in a list that isn't long they
+    meet there. What is still longer is cut into blocks, of which each two meet. The pairs that sizes and parity bits can't rule
+    out go to one of their lists, and T-occurrence search over the whole sets of its members decides.
     """
-    size = Window.partitionBy("h").orderBy("n", "cid")
-    near = (den * F.lag("n").over(size) >= num * F.col("n")) | (den * F.col("n") >= num * F.lead("n").over(size))
-    lists = stored(classes.select("cid", "n", F.explode("pre").alias("h")).withColumn("near", near).where("near").drop("near"), "join-posted")
-    members = lists.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("x2"))
-    single = members.groupBy("m", "x1", "x2").agg(F.min("h").alias("h")).select("h")
-    return stored(lists.join(single, "h", "left_semi"), "join-lists")
-
-
-def residual_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: int, den: int, best: bool) -> tuple[DataFrame, DataFrame]:
-    """(a, b) components that a link joins, from the lists whose members are not yet of one component; and the lists with a
-    pair: when components have been joined, no other list can have one."""
-    lists = shared.join(labels, "cid")
-    by = Window.partitionBy("h")
-    lists = lists.select("h", "cid", "comp", F.min("comp").over(by).alias("lo"), F.max("comp").over(by).alias("hi"), F.count(F.lit(1)).over(by).alias("m")).where("lo <> hi").drop("lo", "hi")
+    lists = shared.join(labels, "cid").select("key", "cid", "comp")
+    if best:
+        lists = lists.groupBy("key", "comp").agg(F.min("cid").alias("cid")).select("key", "cid", "comp")
+    lists = stored(mixed_lists(lists), "join-mixed")
+    hot = lists.where(F.col("m") > LIST_BLOCK).select("key", "cid", "comp")
+    twice = hot.alias("x").join(hot.alias("y"), (F.col("x.cid") == F.col("y.cid")) & (F.col("x.key") < F.col("y.key")))
+    twice = mixed_lists(twice.select(F.xxhash64("x.key", "y.key").alias("key"), F.col("x.cid").alias("cid"), F.col("x.comp").alias("comp")))
+    lists = lists.where(F.col("m") <= LIST_BLOCK).unionByName(twice)
     parts = F.ceil(F.col("m") / F.lit(LIST_BLOCK)).cast("int")
     lists = lists.withColumn("blk", F.pmod(F.xxhash64("cid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    lists = lists.select("h", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cid", "comp")
-    own = shared.groupBy("cid").agg(F.sort_array(F.collect_list("h")).alias("lists"))  # no longer than the prefix
-    known = lists.join(classes.select("cid", "n", "bits"), "cid").join(own, "cid").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    pairs = stored(known.mapInArrow(lambda b: _suspects(b, num, den, best), f"h long, {EDGES}"), "join-pairs")
-    side = lambda x: texts.join(labels, "cid").select(F.col("cid").alias(x), F.col("text").alias(f"t{x}"), F.col("comp").alias(f"c{x}"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").select("ta", "tb", "ca", "cb").mapInArrow(lambda b: _verify(b, k, num, den), EDGES)
-    return links, shared.join(pairs.select("h").distinct(), "h", "left_semi")
+    lists = lists.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cid", "comp")
+    known = lists.join(classes.select("cid", "n", "bits"), "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = stored(known.mapInArrow(lambda b: _suspects(b, num, den, best), f"key long, {EDGES}"), "join-pairs")
+    pairs = pairs.groupBy("a", "b").agg(F.min("key").alias("key"))
+    members = pairs.select("key", F.explode(F.array("a", "b")).alias("cid")).distinct()
+    links = searched(members.join(texts, "cid").withColumn("block", F.lit(0)), k, num, den)
+    side = lambda x: labels.select(F.col("cid").alias(x), F.col("comp").alias(f"c{x}"))
+    return links.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
 
 
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    links = stored(links, "join-links")
+    if links.isEmpty():
+        return labels
     roots = connected_components(links)
     return stored(labels.join(roots, labels["comp"] == roots["node"], "left").select("cid", F.coalesce("root", "comp").alias("comp")), "join-labels")
 
@@ -317,34 +350,33 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, for links of den * intersection >= num * union of k-word sets.
 
-    1. Equal sets become one class, before any shuffle of more than digests. 2. A prefix of each set in one common order
-    is posted; lists of one class are dropped. 3. The classes of equal least hash are searched together by T-occurrence,
-    in blocks of bounded size. 4. Lists that still hold two components give the pairs that sizes and parity bits can't rule
-    out, first the likeliest of each two components, then, after those have been joined, all; each is compared in full.
+    1. Equal sets become one class, before any shuffle of more than digests. 2. Each set is cut into parts, two of which it
+    shares with any set it links with; the keys of parts that no other class has are dropped. 3. The classes of equal least
+    hash are searched together by T-occurrence, in blocks of bounded size. 4. The key lists that still hold two components
+    are searched in the same way, first with one member of each component, then, after those have been joined, with all.
     So no link between components is missed, and no list is expanded into its pairs while its members are connected.
 
     A null or empty text has no shingle, its own component and no links. Rows repeated with one id share the component of
-    their text. A null id has its row; component_id is null only if a whole component has no id. An empty table gives none.
+    their text; an id with several texts has a row and a component for each. A null id has its row; component_id is null only
+    if a whole component has no id. An empty table gives none; other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = sketches(base, k, num, den)
     reps = stored(sketch.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("row").alias("cid")), "join-classes")
-    classes = sketch.join(reps.select(F.col("cid").alias("row")), "row").select(F.col("row").alias("cid"), "n", "pre", "bits", "low")
-    shared = posted_lists(classes, num, den)
-    first = classes.select("cid", "n", F.col("low").alias("key"))
+    classes = sketch.join(reps.select(F.col("cid").alias("row")), "row").select(F.col("row").alias("cid"), "n", "keys", "bits", "low")
+    shared = posted_lists(classes)
+    first = classes.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", "n", F.col("low").alias("key"))
     groups = first.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("m > 1")
     parts = F.greatest(F.ceil(F.col("m") / F.lit(BLOCK_SETS)), F.ceil(F.col("s") / F.lit(BLOCK_SHINGLES)))
-    blocks = first.join(groups, "key").select("cid", "key", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("block"))
-    wanted = stored(shared.select("cid").distinct().join(reps, "cid").join(blocks, "cid", "left").select("cid", "rep", "d1", "key", "block"), "join-wanted")
+    blocks = first.join(groups, "key", "left").select("cid", F.when(F.col("m") > 1, F.col("key")).alias("key"), F.pmod(F.xxhash64("cid"), parts).cast("int").alias("block"))
+    wanted = stored(blocks.join(reps, "cid").select("cid", "rep", "d1", "key", "block"), "join-wanted")
     texts = stored(base.join(wanted, base["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "d1", "key", "block", "text"), "join-texts")
-    dealt = texts.where("key is not null").repartition("key", "block").sortWithinPartitions("key", "block")
-    found = dealt.select("key", "block", "cid", "d1", "text").mapInArrow(lambda b: _search(b, k, num, den), EDGES)
+    found = searched(texts.where("key is not null"), k, num, den)
     labels = reps.select("cid").join(found, reps["cid"] == found["a"], "left").select("cid", F.coalesce("b", "cid").alias("comp"))
     labels = stored(labels, "join-labels")
-    texts = texts.select("cid", "text")
+    texts = texts.select("cid", "d1", "text")
     for best in (True, False):
-        links, shared = residual_links(shared, labels, classes, texts, k, num, den, best)
-        labels = relabel(labels, links)
+        labels = relabel(labels, residual_links(shared, labels, classes, texts, k, num, den, best))
     members = reps.join(labels, "cid")
     lowest = members.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = members.join(lowest, "comp").select("d1", "d2", "n", "component_id")

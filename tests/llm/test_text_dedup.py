@@ -59,7 +59,6 @@ def components(rows, k, num, den):
 def test_ngram_join_equals_brute_force(spark, monkeypatch, k, num, den):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 3)  # hot groups in many blocks
     monkeypatch.setattr(ngram_join, "LIST_BLOCK", 3)
-    monkeypatch.setattr(ngram_join, "OFTEN", 3)
     rows = near_copies()
     got = {tuple(r) for r in ngram_join.ngram_components(table(spark, rows), k, num, den).collect()}
     assert got == components(rows, k, num, den)
@@ -71,6 +70,36 @@ def test_ngram_join_of_odd_tables(spark):
     assert got == sorted([(1, 0, 1), (None, 1, 2), (2, 1, 2), (2, 1, 2), (3, 0, 3)], key=str)
 
 
+def test_ngram_join_of_one_id_with_several_texts(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (1, " ".join(f"u{i}" for i in range(60))), (2, " ".join([*base[:-1], "end"])), (2, " ".join([*base[:-1], "end"])), (3, " ".join([f"u{i}" for i in range(59)] + ["end"]))]
+    got = sorted(tuple(r) for r in ngram_join.ngram_components(table(spark, rows), 4, 85, 100).collect())
+    assert got == [(1, 57, 1), (1, 57, 1), (2, 57, 1), (2, 57, 1), (3, 57, 1)]
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_linked_sets_share_two_part_keys(num):
+    rng = np.random.default_rng(num)
+    for _ in range(3000):
+        n = int(rng.choice((6, 8, 13, 25, 60, 300, 700)))
+        whole = rng.integers(0, 1 << 63, 2 * n + 2).astype(np.uint64) * np.uint64(2)
+        gone, new = rng.integers(0, 1 + n // 8), rng.integers(0, 1 + n // 5)
+        a, b = np.unique(whole[:n]), np.unique(np.concatenate([whole[gone:n], whole[n : n + new]]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= num * (len(a) + len(b) - both) and len(a) + len(b) > 2 * both:
+            keys = [ngram_join.part_keys(s, ngram_join.mix(s), num, 100) for s in (a, b)]
+            assert len(np.intersect1d(*keys)) >= 2
+
+
+def test_t_occurrence_equals_counting():
+    rng = random.Random(6)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(40), rng.randint(1, 40))) for _ in range(rng.randint(1, 30))]
+        need, low = rng.randint(1, len(lists)), rng.randint(0, 20)
+        want = [(i, n) for i in range(low, 40) if (n := sum(i in x for x in lists)) >= need]
+        assert list(ngram_join.t_occurrence(lists, low, need)) == want
+
+
 def test_t_occurrence_search_of_a_block_equals_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(20):
@@ -93,7 +122,7 @@ def test_parity_never_overstates_the_difference():
     for _ in range(200):
         a = np.unique(rng.integers(0, 5000, rng.integers(1, 900)).astype(np.uint64))
         b = np.unique(np.concatenate([a[: rng.integers(1, len(a) + 1)], rng.integers(0, 5000, 20).astype(np.uint64)]))
-        x, y = ngram_join.parity(a).tobytes(), ngram_join.parity(b).tobytes()
+        x, y = (ngram_join.parity(ngram_join.mix(s)).tobytes() for s in (a, b))
         size = 8 * min(len(x), len(y))
         differ = int(np.bitwise_count(ngram_join._unpack([x], size) ^ ngram_join._unpack([y], size)).sum())
         assert differ <= len(np.setxor1d(a, b))
