@@ -247,13 +247,15 @@ def searched(groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(lambda b: _search(b, k, num, den), EDGES)
 
 
-def _unpack(bits: list[bytes], size: int) -> np.ndarray:
+def folded(bits: list[bytes], size: int) -> np.ndarray:
+    """Parity bits as rows of ``size`` bits; those of fewer are not used and stay 0."""
     out = np.zeros((len(bits), size // 8), np.uint8)
     for i, b in enumerate(bits):
         x = np.frombuffer(b, np.uint8)
         while len(x) > size // 8:
             x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        out[i] = x
+        if len(x) == size // 8:
+            out[i] = x
     return out
 
 
@@ -268,14 +270,16 @@ def _suspects(batches: Iterator, num: int, den: int, best: bool) -> Iterator:
         bits = t.column("bits").to_pylist()
         order = np.lexsort((cid, n))
         n, cid, comp, blk, bits = n[order], cid[order], comp[order], blk[order], [bits[x] for x in order]
-        out = []
+        out, rows = [], {}
         for x in range(1, len(n)):
             low = int(np.searchsorted(n[:x], least_overlap(int(n[x]), num, den)))
             y = np.arange(low, x)
             y = y[(comp[y] != comp[x]) & ((blk[y] != blk[x]) if i != j else True)]
             if len(y):
-                size = 8 * min(len(bits[z]) for z in (int(y[0]), x))
-                differ = np.bitwise_count(_unpack([bits[z] for z in y], size) ^ _unpack([bits[x]], size)).sum(1, dtype=np.int64)
+                size = 8 * len(bits[int(y[0])])
+                if size not in rows:
+                    rows[size] = folded(bits, size)
+                differ = np.bitwise_count(rows[size][y] ^ rows[size][x]).sum(1, dtype=np.int64)
                 most = (n[x] + n[y] - differ) // 2
                 ok = den * most >= num * (n[x] + n[y] - most)
                 out += [(float(m / n[x]), x, int(z)) for z, m in zip(y[ok], most[ok], strict=True)]

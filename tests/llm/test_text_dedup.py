@@ -124,7 +124,7 @@ def test_parity_never_overstates_the_difference():
         b = np.unique(np.concatenate([a[: rng.integers(1, len(a) + 1)], rng.integers(0, 5000, 20).astype(np.uint64)]))
         x, y = (ngram_join.parity(ngram_join.mix(s)).tobytes() for s in (a, b))
         size = 8 * min(len(x), len(y))
-        differ = int(np.bitwise_count(ngram_join._unpack([x], size) ^ ngram_join._unpack([y], size)).sum())
+        differ = int(np.bitwise_count(ngram_join.folded([x], size) ^ ngram_join.folded([y], size)).sum())
         assert differ <= len(np.setxor1d(a, b))
 
 
