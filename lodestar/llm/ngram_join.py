@@ -16,9 +16,11 @@ from .common import mix, shingle_hashes, stored, text_steps, word_hashes
 from .components import connected_components
 
 #: Sets and shingles of one search block; members of one list, or of one block of a longer one; DivideSkip's weight of a probe.
-BLOCK_SETS, BLOCK_SHINGLES, LIST_BLOCK, PROBE = 1000, 1_000_000, 1000, 0.5
+BLOCK_SETS, BLOCK_SHINGLES, LIST_BLOCK, PROBE = 250, 500_000, 1000, 0.5
 #: Least number of parts that a set is cut into, and the growth from one number to the next.
 PARTS, GROWTH = 4, 1.5
+#: Bits of the map of hashed ids that spares most texts a shuffle; it has a row for 64 of them, which bounds its broadcast.
+MARKS = 1 << 24
 EDGES = "a long, b long"
 
 
@@ -128,6 +130,14 @@ def sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return stored(base.withColumn("row", F.monotonically_increasing_id()), "join-sketches")
 
 
+def marked(rows: DataFrame, number, marks: DataFrame, bounded: bool = False) -> DataFrame:
+    """Rows whose number is among the marks: (mark) numbers, packed as a bit each, 64 to a row, so that the planner can mostly
+    broadcast them. Bounded are those below MARKS: at most MARKS / 64 rows of 16 bytes, 4 MB, are broadcast in any case."""
+    packed = marks.groupBy(F.shiftright("mark", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(mark & 63 as int))")).alias("__bits"))
+    at = rows.withColumn("__at", number)
+    return at.join(F.broadcast(packed) if bounded else packed, F.shiftright("__at", 6) == packed["__word"]).where("(shiftrightunsigned(__bits, cast(__at & 63 as int)) & 1) = 1").drop("__at", "__word", "__bits")
+
+
 def t_occurrence(lists: list[list[int]], low: int, need: int) -> Iterator[tuple[int, int]]:
     """(id, number of lists) of the ids from ``low`` on that are in ``need`` of the sorted lists at least.
 
@@ -243,7 +253,8 @@ def _search(batches: Iterator, k: int, num: int, den: int) -> Iterator:
 
 def searched(groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) that T-occurrence search finds in each group of (key, block, cid, d1, text)."""
-    dealt = groups.select("key", "block", "cid", "d1", "text").repartition("key", "block").sortWithinPartitions("key", "block")
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: what a group costs isn't seen in its bytes
+    dealt = groups.select("key", "block", "cid", "d1", "text").repartition(parts, "key", "block").sortWithinPartitions("key", "block")
     return dealt.mapInArrow(lambda b: _search(b, k, num, den), EDGES)
 
 
@@ -315,7 +326,7 @@ def mixed_lists(lists: DataFrame) -> DataFrame:
     return lists.join(sizes.where("lo <> hi").select("key", "m"), "key")
 
 
-def residual_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: int, den: int, best: bool) -> DataFrame:
+def residual_links(shared: DataFrame, labels: DataFrame, near: DataFrame, texts: DataFrame, k: int, num: int, den: int, best: bool) -> DataFrame:
     """(a, b) components that a link joins, from the lists whose members are not yet of one component.
 
     With best each component sends one member to a list, so few pairs are enough to join most. A list of more than LIST_BLOCK
@@ -334,7 +345,7 @@ def residual_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, tex
     parts = F.ceil(F.col("m") / F.lit(LIST_BLOCK)).cast("int")
     lists = lists.withColumn("blk", F.pmod(F.xxhash64("cid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     lists = lists.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cid", "comp")
-    known = lists.join(classes.select("cid", "n", "bits"), "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    known = lists.join(near.select("cid", "n", "bits"), "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = stored(known.mapInArrow(lambda b: _suspects(b, num, den, best), f"key long, {EDGES}"), "join-pairs")
     pairs = pairs.groupBy("a", "b").agg(F.min("key").alias("key"))
     members = pairs.select("key", F.explode(F.array("a", "b")).alias("cid")).distinct()
@@ -367,20 +378,22 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = sketches(base, k, num, den)
     reps = stored(sketch.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("row").alias("cid")), "join-classes")
-    classes = sketch.join(reps.select(F.col("cid").alias("row")), "row").select(F.col("row").alias("cid"), "n", "keys", "bits", "low")
-    shared = posted_lists(classes)
-    first = classes.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", "n", F.col("low").alias("key"))
-    groups = first.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("m > 1")
+    classes = marked(sketch, F.col("row"), reps.select(F.col("cid").alias("mark")))
+    shared = posted_lists(classes.select(F.col("row").alias("cid"), "keys"))
+    near = stored(marked(sketch, F.col("row"), shared.select(F.col("cid").alias("mark"))).select(F.col("row").alias("cid"), "n", "bits", F.col("low").alias("key")), "join-near")
+    groups = near.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("m > 1")
     parts = F.greatest(F.ceil(F.col("m") / F.lit(BLOCK_SETS)), F.ceil(F.col("s") / F.lit(BLOCK_SHINGLES)))
-    blocks = first.join(groups, "key", "left").select("cid", F.when(F.col("m") > 1, F.col("key")).alias("key"), F.pmod(F.xxhash64("cid"), parts).cast("int").alias("block"))
+    blocks = near.join(groups, "key", "left").select("cid", F.when(F.col("m") > 1, F.col("key")).alias("key"), F.pmod(F.xxhash64("cid"), parts).cast("int").alias("block"))
     wanted = stored(blocks.join(reps, "cid").select("cid", "rep", "d1", "key", "block"), "join-wanted")
-    texts = stored(base.join(wanted, base["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "d1", "key", "block", "text"), "join-texts")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    few = marked(base, place("doc_id"), wanted.select(place("rep").alias("mark")), True)  # others go no further
+    texts = stored(few.join(wanted, few["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "d1", "key", "block", "text"), "join-texts")
     found = searched(texts.where("key is not null"), k, num, den)
     labels = reps.select("cid").join(found, reps["cid"] == found["a"], "left").select("cid", F.coalesce("b", "cid").alias("comp"))
     labels = stored(labels, "join-labels")
     texts = texts.select("cid", "d1", "text")
     for best in (True, False):
-        labels = relabel(labels, residual_links(shared, labels, classes, texts, k, num, den, best))
+        labels = relabel(labels, residual_links(shared, labels, near, texts, k, num, den, best))
     members = reps.join(labels, "cid")
     lowest = members.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = members.join(lowest, "comp").select("d1", "d2", "n", "component_id")
