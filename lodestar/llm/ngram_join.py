@@ -135,7 +135,8 @@ def marked(rows: DataFrame, number, marks: DataFrame, bounded: bool = False) ->
     broadcast them. Bounded are those below MARKS: at most MARKS / 64 rows of 16 bytes, 4 MB, are broadcast in any case."""
     packed = marks.groupBy(F.shiftright("mark", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(mark & 63 as int))")).alias("__bits"))
     at = rows.withColumn("__at", number)
-    return at.join(F.broadcast(packed) if bounded else packed, F.shiftright("__at", 6) == packed["__word"]).where("(shiftrightunsigned(__bits, cast(__at & 63 as int)) & 1) = 1").drop("__at", "__word", "__bits")
+    packed = F.broadcast(packed) if bounded else stored(packed, "join-marks")  # of known size, so the rows aren't shuffled in vain
+    return at.join(packed, F.shiftright("__at", 6) == packed["__word"]).where("(shiftrightunsigned(__bits, cast(__at & 63 as int)) & 1) = 1").drop("__at", "__word", "__bits")
 
 
 def t_occurrence(lists: list[list[int]], low: int, need: int) -> Iterator[tuple[int, int]]:
