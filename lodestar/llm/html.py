@@ -33,7 +33,7 @@ class _Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.stack: list[tuple[str, tuple[str, ...], bool]] = []  # tag, hints, whether it hides what is inside
         self.out: list[tuple] = []
         self.text: list[str] = []
         self.links = self.hidden = self.anchors = 0
@@ -41,15 +41,15 @@ class _Blocks(HTMLParser):
     def flush(self):
         text = " ".join("".join(self.text).split())
         if text:
-            tags = [t for t, _ in self.stack if t not in INLINE]
-            self.out.append((text, self.links, tags[-1] if tags else "", frozenset(tags), frozenset(h for _, hints in self.stack for h in hints)))
+            tags = [t for t, _, _ in self.stack if t not in INLINE]
+            self.out.append((text, self.links, tags[-1] if tags else "", frozenset(tags), frozenset(h for _, hints, _ in self.stack for h in hints)))
         self.text, self.links = [], 0
 
-    def pop(self, n: int):
-        for tag, _ in self.stack[n:]:
-            self.hidden -= tag in HIDDEN
+    def pop(self, first: int, end: int | None = None):
+        for tag, _, hides in self.stack[first:end]:
+            self.hidden -= hides
             self.anchors -= tag == "a"
-        del self.stack[n:]
+        del self.stack[first:end]
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
@@ -66,8 +66,8 @@ class _Blocks(HTMLParser):
             return
         words = re.findall("[a-z]+", " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower())
         off = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-        self.stack.append(("template" if off else tag, tuple(w for w in words if w in HINTS)))
-        self.hidden += self.stack[-1][0] in HIDDEN
+        self.stack.append((tag, tuple(w for w in words if w in HINTS), off or tag in HIDDEN))
+        self.hidden += self.stack[-1][2]
         self.anchors += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
@@ -79,8 +79,8 @@ class _Blocks(HTMLParser):
         if tag not in INLINE:
             self.flush()
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag or self.stack[i][0] == "template" and i == len(self.stack) - 1:
-                self.pop(i)
+            if self.stack[i][0] == tag:
+                self.pop(i, i + 1 if tag in INLINE else None)  # blocks opened inside an inline element outlive it
                 return
 
     def handle_data(self, data):

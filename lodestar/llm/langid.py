@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import split_of
 
-#: Bounds of the labelled sample that the model is fitted on: languages, rows of each, characters of a row; and landmarks.
-MAX_LANGS, PER_LANG, TRAIN_CHARS, LANDMARKS = 100, 300, 20_000, 128
+#: Bounds of the labelled sample that the model is fitted on: rows of a language, and of all (one of each at least); texts of
+#: up to SHORT characters are taken first. And the number of landmarks, of which each language has one at least.
+PER_LANG, SAMPLE, SHORT, LANDMARKS = 300, 6000, 20_000, 128
 RIDGE = 1e-2
 #: Symbols of the alphabet, orders of the blended spectrum, and the numbers of grams of lower order before each order's.
 SYMBOLS, ORDERS = 128, (1, 2, 3)
@@ -76,8 +77,8 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge:
     for j, g in enumerate(marks):
         table[place[g], j] = 1 / np.sqrt(len(g))
     model = {"langs": langs, "vocabulary": vocabulary, "table": table, "beta": np.zeros((len(marks), len(langs)), np.float32)}
-    k = kernel(model, [g for _, g in sample]).astype(float)
-    m = kernel(model, marks).astype(float)
+    k = np.concatenate([kernel(model, [g for _, g in sample[at : at + BATCH]], place) for at in range(0, len(sample), BATCH)]).astype(float)
+    m = np.concatenate([kernel(model, marks[at : at + BATCH], place) for at in range(0, len(marks), BATCH)]).astype(float)
     weight = np.array([1 / len(by[x]) for x, _ in sample])[:, None]
     y = np.array([[1.0 if x == lang else -1.0 for lang in langs] for x, _ in sample])
     a = k.T @ (k * weight) + ridge * m + 1e-6 * np.eye(len(marks))
@@ -114,11 +115,14 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> dict | None:
     """The model, from the rows that are not held out; None if there is no such row. Features are made on the executors."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.coalesce(split_of(), F.lit(1)) != 0)
-    base = base.where(F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS) & F.col("text").rlike("\\p{L}"))
-    langs = [r[0] for r in base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = base.where(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= per_lang)
-    rows = base.join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).mapInPandas(_features, "doc_id long, lang string, grams binary").collect()
+    base = base.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).withColumn("h", F.xxhash64("text"))
+    per_lang = max(1, min(per_lang, SAMPLE // max(1, base.select("lang").distinct().count())))
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "h")
+    ids = base.select("doc_id", "lang", "h", (F.length("text") > SHORT).alias("long"))
+    picked = ids.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= per_lang).select("doc_id", "lang", "h").distinct()
+    same = base["doc_id"].eqNullSafe(picked["doc_id"]) & (base["lang"] == picked["lang"]) & (base["h"] == picked["h"])
+    texts = base.join(F.broadcast(picked), same, "left_semi").dropDuplicates(["doc_id", "lang", "h"])  # repeated rows come once
+    rows = texts.select("doc_id", "lang", "text").mapInPandas(_features, "doc_id long, lang string, grams binary").collect()
     sample = [(r["lang"], np.frombuffer(r["grams"], np.int32)) for r in sorted(rows, key=lambda r: (r["lang"], -1 if r["doc_id"] is None else r["doc_id"], bytes(r["grams"])))]
     sample = [x for x in sample if len(x[1])]
     return fit(sample) if sample else None
@@ -128,8 +132,10 @@ def identify(docs: DataFrame, model: dict | None = None, columns: tuple[str, ...
     """One row per document: doc_id, held_out, lang_pred, score, then ``columns`` as they came, named in_*. One pass without a shuffle.
 
     Whole texts. Learns from text and lang of the rows that are not held out unless a model is given. A text that is null,
-    empty or has no letter is ``und`` with score 0, as is every text where no row could be learned from. held_out is false
-    for a null id. Repeated rows each get their row; an empty table gives none; columns not named are not read.
+    empty or has no letter is ``und`` with score 0, as is every text where no row could be learned from. Of languages with
+    equal scores the first in order of name is predicted. Every language with a labelled text is learned, whatever their number
+    and the texts' lengths. held_out is false for a null id. Repeated rows each get their row, and count once in learning; an
+    empty table gives none; columns not named are not read.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model or train(docs))
 

@@ -65,13 +65,17 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def vote(model: dict | None, tf: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-    """Scores of documents: labels of the k labelled vectors of the largest cosine, weighted by its tenth power. A document without terms gets the labels' mean."""
+    """Scores of documents: labels of the k labelled vectors of the largest cosine, weighted by its tenth power;
+    of equal cosines the earlier rows of the sample, which is in order of ids. A document without terms gets the labels' mean."""
     if not model:
         return np.full(len(tf), 0.5)
     x = unit(weigh(tf, model["idf"]) @ model["basis"])
     sims = x @ model["vectors"].T
     k = min(k, sims.shape[1])
     near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(sims, near, 1).min(1, keepdims=True)
+    for i in np.flatnonzero((sims >= last).sum(1) > k):  # more than one choice of the last neighbours
+        near[i] = np.argsort(-sims[i], kind="stable")[:k]
     w = np.clip(np.take_along_axis(sims, near, 1), 1e-3, 1).astype(float) ** 10
     score = (w * model["labels"][near]).sum(1) / w.sum(1)
     return np.where(tf.any(1), np.clip(score, 0, 1), model["prior"])
@@ -89,13 +93,14 @@ def _features(batches) -> Iterator:
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: int = LABELLED) -> dict | None:
     """The model, from at most ``bound`` labelled rows that are not held out, in hash order of their ids; None without any.
 
-    Labels other than 0 and 1, and ids that carry both, are left out. Features are made on the executors.
+    Labels other than 0 and 1, and ids that carry both, are left out; repeated rows count once. Features are made on the executors.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.where(split_of() != 0).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    picked = texts.select("doc_id").join(known.select("doc_id", "label"), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = texts.join(F.broadcast(picked), "doc_id").mapInArrow(_features, "doc_id long, label int, at binary, tf binary").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    picked = texts.select("doc_id", "h").join(known.select("doc_id", "label"), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(bound)
+    sample = texts.join(F.broadcast(picked), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])  # repeated rows come once
+    rows = sample.select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label int, at binary, tf binary").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["tf"])))
     if not rows:
         return None
