@@ -10,24 +10,28 @@ from lodestar.llm.queries import tokenizer_path
 
 #: Columns of documents: what each stage but the last returns.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A prediction below this score is no language's: its text is like no learned one.
-LEAST_SCORE = 0.2
 
 
 def identify_language(spark, docs, sf_dir):
-    """Drops texts without a letter, or like no language learned from these documents; a null lang becomes the predicted one."""
-    found = langid.identify(docs, columns=COLUMNS).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    """Drops null texts and those without a letter, which have no language; a null lang becomes the predicted one. Where no row has
+    a lang there is nothing to learn from: texts with a letter stay, their lang null. Repeated rows each stay."""
+    model = langid.train(docs)
+    if model is None:
+        return docs.select(*COLUMNS).where(F.col("text").rlike("\\p{L}"))
+    found = langid.identify(docs, model, columns=COLUMNS).where(F.col("lang_pred") != "und")
     lang = F.coalesce("in_lang", "lang_pred").alias("lang")
     return found.select("doc_id", *(lang if c == "lang" else F.col(f"in_{c}").alias(c) for c in COLUMNS[1:]))
 
 
 def drop_exact_copies(spark, docs, sf_dir):
-    """Of equal texts the row with the smallest id stays."""
+    """Of equal texts, null counting as empty, the row with the smallest id stays, and of repeated rows one."""
     return exact_dedup.without_copies(docs, COLUMNS)
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """Of each group of documents joined by 5-word shingle similarity of 0.8 or more, the one with the smallest id stays."""
+    """Of each group of documents joined by 5-word shingle similarity of 0.8 or more, the one with the smallest id stays: all of
+    its rows, should the id have several texts. Documents without words stay, as do rows without an id that have no other in
+    their group."""
     kept = ngram_join.ngram_components(docs, k=5, num=80, den=100).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
     docs = docs.select(*COLUMNS)
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
