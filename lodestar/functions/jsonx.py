@@ -116,6 +116,28 @@ def validator(schema: dict):
     return run
 
 
+def loose_key(value) -> str:
+    """A value as text in which lists are objects by place and members are sorted by name."""
+    if isinstance(value, list):
+        value = {str(i): x for i, x in enumerate(value)}
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{loose_key(value[k])}" for k in sorted(value)) + "}"
+    return canonical_json(value)
+
+
+@F.pandas_udf(StringType())
+def structural_key(text: pd.Series) -> pd.Series:
+    """loose_key() of JSON texts; null for what isn't JSON."""
+
+    def one(t):
+        try:
+            return loose_key(json.loads(t))
+        except (TypeError, ValueError):
+            return None
+
+    return text.map(one)
+
+
 def value_end(text: str) -> tuple[str, int]:
     """(state, end) of the JSON value that a text starts with: complete with its end, partial, or invalid."""
     at = len(text) - len(text.lstrip(" \t\r\n"))

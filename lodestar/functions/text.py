@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -40,41 +41,31 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
+def slice_utf16(text: Column, start: Column, end: Column) -> Column:
+    """Units [start, end) of a text."""
+    return F.decode(F.substring(F.encode(text, "UTF-16BE"), 2 * start + 1, 2 * (end - start)), "UTF-16BE")
+
+
 def plain_terms(text: Column) -> Column:
     """Lower-case runs of letters and digits without stop words, for texts without CJK."""
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}]+)"), 1), lambda w: ~w.isin(STOP_WORDS))
 
 
-def _cjk(c: str) -> bool:
-    name = unicodedata.name(c, "")
-    return name.startswith(("CJK", "HIRAGANA", "KATAKANA", "HANGUL"))
+_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_SCRIPT = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Hangul}]+")
 
 
 def terms_of(text: str | None) -> list[str]:
-    """Terms of any text: NFKC, lower case, runs of letters and digits; CJK pieces give each character and adjacent pair."""
-    out, run = [], ""
-
-    def close(piece: str) -> None:
-        i = 0
-        while i < len(piece):
-            j, wide = i, _cjk(piece[i])
-            while j < len(piece) and _cjk(piece[j]) == wide:
-                j += 1
-            part = piece[i:j]
-            if wide:
-                for at, c in enumerate(part):
-                    out.extend([part[at - 1 : at + 1], c] if at else [c])
-            elif part not in STOP_WORDS or part != piece:
-                out.append(part)
-            i = j
-
-    for c in unicodedata.normalize("NFKC", text or "").lower() + " ":
-        if unicodedata.category(c)[0] in "LN":
-            run += c
-        elif run:
-            close(run)
-            run = ""
-    return out
+    """Terms of any text: NFKC, lower case, runs of letters and digits without stop words; of a run the pieces in Han, kana or
+    Hangul give each character and adjacent pair, and the pieces between them stand alone."""
+    out = []
+    for word in _WORD.findall(unicodedata.normalize("NFKC", text or "").lower()):
+        at = 0
+        for m in _SCRIPT.finditer(word):
+            out += [word[at : m.start()], *(x for i, c in enumerate(m[0]) for x in (m[0][i - 1 : i + 1] if i else "", c))]
+            at = m.end()
+        out.append(word[at:])
+    return [x for x in out if x and x not in STOP_WORDS]
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -83,10 +74,10 @@ def general_terms(text: pd.Series) -> pd.Series:
 
 
 def with_terms(df: DataFrame, text: str = "text", out: str = "terms") -> DataFrame:
-    """Adds the terms. Texts that are plain for NFKC and hold no CJK stay in the JVM; only the others go through Python."""
+    """Adds the terms, in one scan. Texts that are plain for NFKC and hold no CJK stay in the JVM; Python gets only the others."""
     odd = F.coalesce(F.col(text).rlike("[^\\x00-\\x7F\\xA1-\\xA7\\xA9\\xAB-\\xAE\\xB0\\xB1\\xB6\\xB7\\xBB\\xBF-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E\\u2010\\u2013-\\u2016\\u2018-\\u2023]"), F.lit(False))
-    plain = df.where(~odd).withColumn(out, F.coalesce(plain_terms(F.col(text)), F.array().cast("array<string>")))
-    return plain.unionByName(df.where(odd).withColumn(out, general_terms(F.col(text))))
+    plain = F.coalesce(plain_terms(F.col(text)), F.array().cast("array<string>"))
+    return df.withColumn(out, F.when(odd, general_terms(F.when(odd, F.col(text)))).otherwise(plain))
 
 
 def audit_values(text: Column, kind: str) -> Column:
@@ -94,6 +85,17 @@ def audit_values(text: Column, kind: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({AUDIT[kind]})"), 1))
 
 
+def untouched_words(text: Column) -> Column:
+    """Words in lower-case ASCII that no audit pattern can match a part of: texts alike but for a kind's values have the same."""
+    beside = f"[^{SPACE[1:-1]},;:()\".!?。！？]"  # next to anything else a pattern may begin or end
+    words = F.regexp_extract_all(text, F.lit(f"(?<!{beside})([a-z]+)(?!{beside})"), 1)
+    return F.filter(words, lambda w: ~w.rlike(f"^(?i:{UNITS}|{MONTHS}|{NEGATIONS}|to)$"))
+
+
+#: Negations that may stand inside a word, so that words on both sides meet where they are taken out.
+JOINING = "[並不沒未]"
+
+
 def sentence_key(text: Column) -> Column:
     """A sentence for comparison: white space collapsed, end marks off."""
     return F.regexp_replace(normalize(text), "[.!?。！？]+$", "")

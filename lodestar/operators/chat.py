@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import jsonx
+
 # Limits of a conversation.
 ROLES, MAX_MESSAGES = ("system", "user", "assistant"), 128
 MESSAGES = "array<struct<role: string, text: string>>"
@@ -18,7 +23,7 @@ def token_estimate(text: Column) -> Column:
 def chat_faults(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text): (conv_id, turn, reason) where a role is unknown, a system message isn't first, user
     and assistant don't alternate from a user on, or there are too many messages."""
-    by = Window.partitionBy("conv_id").orderBy("turn")
+    by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     marked = turns.withColumn("n", F.row_number().over(by)).withColumn("was", F.lag("role").over(by))
     expected = F.when(F.col("was").isNull() | (F.col("was") == "system") | (F.col("was") == "assistant"), "user").otherwise("assistant")
     reason = (
@@ -28,22 +33,34 @@ def chat_faults(turns: DataFrame) -> DataFrame:
     return marked.withColumn("reason", reason).where("reason is not null").select("conv_id", "turn", "reason")
 
 
-def drop_oldest(turns: DataFrame, max_messages: int, max_tokens: int, tokens: Column | None = None) -> DataFrame:
-    """The window that the policy keeps: system messages and the newest complete turns within both bounds.
+def context_plan(turns: DataFrame, max_messages: int, max_tokens: int, tokens: Column | None = None) -> DataFrame:
+    """turns with own (0 for system messages), place (from 0 among the others) and dropped: how many of these, oldest first, go.
 
-    Turns are pairs counted from the end of what isn't system. A pair stays while it and all newer ones fit with the system
-    messages: one reverse running sum a conversation, no loop."""
+    Whole turns, two messages each, are dropped from the start until the rest fits both bounds with the system messages; at
+    least one message is left. dropped is null where nothing fits: that conversation is over its context limit. One running
+    sum a conversation, no loop."""
     n = tokens if tokens is not None else token_estimate(F.col("text"))
     conv = Window.partitionBy("conv_id")
-    sized = turns.withColumn("tokens", n).withColumn("own", (F.col("role") != "system").cast("int"))
-    sized = sized.withColumn("fixed_n", F.sum(1 - F.col("own")).over(conv)).withColumn("fixed_t", F.sum((1 - F.col("own")) * F.col("tokens")).over(conv))
-    newest = Window.partitionBy("conv_id").orderBy(F.desc("own"), F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
-    sized = sized.withColumn("back", F.sum("own").over(newest)).withColumn("sum_t", F.sum(F.col("own") * F.col("tokens")).over(newest))
-    sized = sized.withColumn("pair", F.ceil(F.col("back") / 2))
-    pair = Window.partitionBy("conv_id", "own", "pair")
-    sized = sized.withColumn("pair_n", F.max("back").over(pair)).withColumn("pair_t", F.max("sum_t").over(pair))
-    fits = (F.col("pair_n") + F.col("fixed_n") <= max_messages) & (F.col("pair_t") + F.col("fixed_t") <= max_tokens)
-    return sized.where((F.col("own") == 0) | fits).select("conv_id", "turn", "role", "text")
+    sized = turns.withColumn("own", (F.col("role") != "system").cast("int")).withColumn("tokens", n)
+    fixed = lambda x: F.sum((1 - F.col("own")) * x).over(conv)
+    rest = Window.partitionBy("conv_id", "own").orderBy("turn", "role", "text").rowsBetween(0, Window.unboundedFollowing)
+    sized = sized.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "own").orderBy("turn", "role", "text")) - 1)
+    sized = sized.withColumn("n", F.count(F.lit(1)).over(rest) + fixed(F.lit(1))).withColumn("t", F.sum("tokens").over(rest) + fixed(F.col("tokens")))
+    start = (F.col("own") == 1) & (F.col("place") % 2 == 0) & (F.col("n") <= max_messages) & (F.col("t") <= max_tokens)
+    only = (F.sum("own").over(conv) == 0) & (fixed(F.lit(1)) <= max_messages) & (fixed(F.col("tokens")) <= max_tokens)
+    return sized.withColumn("dropped", F.coalesce(F.min(F.when(start, F.col("place"))).over(conv), F.when(only, 0))).drop("n", "t", "tokens")
+
+
+def drop_oldest(turns: DataFrame, max_messages: int, max_tokens: int, tokens: Column | None = None) -> DataFrame:
+    """The window that the policy keeps: system messages and what is left after the oldest turns are dropped. Conversations that
+    never fit have no rows; over_context() names them."""
+    kept = context_plan(turns, max_messages, max_tokens, tokens).where("dropped is not null and (own = 0 or place >= dropped)")
+    return kept.select("conv_id", "turn", "role", "text")
+
+
+def over_context(turns: DataFrame, max_messages: int, max_tokens: int, tokens: Column | None = None) -> DataFrame:
+    """(conv_id, code) of the conversations that no dropping of whole turns makes fit."""
+    return context_plan(turns, max_messages, max_tokens, tokens).where("dropped is null").select("conv_id", F.lit("CONTEXT_LIMIT").alias("code")).distinct()
 
 
 def export_sessions(turns: DataFrame) -> DataFrame:
@@ -64,6 +81,32 @@ def branch(turns: DataFrame, conv_id: int, new_id: int, until: int) -> DataFrame
     return turns.where((F.col("conv_id") == conv_id) & (F.col("turn") <= until)).withColumn("conv_id", F.lit(new_id).cast("long"))
 
 
+def tool_registry(schemas: dict[str, dict]) -> dict[str, dict]:
+    """Tools by name with the schemas of their arguments: 1 to 64, names of identifier characters, schemas that compile."""
+    if not 1 <= len(schemas) <= 64 or not all(re.fullmatch(r"[A-Za-z][A-Za-z0-9_-]{0,63}", n) for n in schemas):
+        raise ValueError("a registry has 1 to 64 tools with names of identifier characters")
+    for schema in schemas.values():
+        jsonx.compile_schema(schema)
+    return dict(schemas)
+
+
+def call_faults(calls: DataFrame, tools: dict[str, dict], order: str) -> DataFrame:
+    """calls (conv_id, id, name, arguments, and a column that orders them): the first thing that is wrong with a call: a tool that
+    isn't registered, an id that is malformed or used before in the conversation, arguments against the tool's schema."""
+    turn = F.row_number().over(Window.partitionBy("conv_id", "id").orderBy(order))
+    repeated = F.count(F.lit(1)).over(Window.partitionBy("conv_id", "id"))
+    errors = F.lit(None).cast("string")
+    for same in {json.dumps(s, sort_keys=True) for s in tools.values()}:
+        names = [n for n, s in tools.items() if json.dumps(s, sort_keys=True) == same]
+        errors = F.when(F.col("name").isin(names), F.array_join(jsonx.validator(json.loads(same))("arguments"), ";")).otherwise(errors)
+    marked = calls.withColumn("turn", turn).withColumn("times", repeated).withColumn("errors", errors)
+    reason = (
+        F.when(~F.col("name").isin(list(tools)) | F.col("name").isNull(), "unknown tool").when(~F.coalesce(F.col("id").rlike("^[A-Za-z0-9_-]{1,128}$"), F.lit(False)), "malformed id")
+        .when((F.col("times") > 1) & (F.col("turn") > 1), "repeated id").when(F.col("errors") != "", F.concat(F.lit("arguments: "), "errors"))
+    )
+    return marked.select(order, reason.alias("reason")).where("reason is not null")
+
+
 def tool_faults(calls: DataFrame, results: DataFrame, tools: list[str]) -> DataFrame:
     """calls (conv_id, id, name) and results (conv_id, id, name, status): unknown tools, repeated ids, results without a call
     or of another name, calls that got none or more than one: (conv_id, id, reason)."""

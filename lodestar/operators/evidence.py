@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.canonical import canonical_struct
-from ..functions.text import AUDIT, audit_values, markdown_text, normalize, sentence_key, utf16_length
+from ..functions.text import AUDIT, JOINING, audit_values, markdown_text, normalize, sentence_key, slice_utf16, untouched_words, utf16_length
 
 #: Joins the paragraphs of a page when it becomes a document.
 SEPARATOR = "\n\n"
@@ -54,27 +54,31 @@ def fill_gaps(ranges: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def ledger_breaks(facts: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Facts or paragraphs where the ledger isn't a gap-free tiling by exact quotes: (page_id, paragraph_id, reason)."""
+    """Facts or paragraphs where the ledger isn't a gap-free tiling by exact quotes, offsets in UTF-16 units: (page_id,
+    paragraph_id, reason)."""
     joined = facts.join(paragraphs.select("page_id", "paragraph_id", "text"), ["page_id", "paragraph_id"], "left")
     by = Window.partitionBy("page_id", "paragraph_id").orderBy("start")
     checked = joined.withColumn("was", F.coalesce(F.lag("end").over(by), F.lit(0))).withColumn("next", F.lead("start").over(by))
-    cut = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    length = utf16_length(F.col("text"))
+    cut = F.when(F.col("end") <= length, slice_utf16(F.col("text"), F.col("start"), F.col("end"))).otherwise("")
     reason = (
         F.when(F.col("text").isNull(), "unknown paragraph").when(F.col("start") != F.col("was"), "gap or overlap").when(F.col("end") <= F.col("start"), "empty")
-        .when(cut != F.col("quote"), "quote differs").when(F.col("next").isNull() & (F.col("end") != F.length("text")), "does not reach the end")
+        .when(cut != F.col("quote"), "quote differs").when(F.col("next").isNull() & (F.col("end") != length), "does not reach the end")
     )
     missing = paragraphs.join(facts.select("page_id", "paragraph_id").distinct(), ["page_id", "paragraph_id"], "left_anti").select("page_id", "paragraph_id", F.lit("no fact").alias("reason"))
     return checked.withColumn("reason", reason).where("reason is not null").select("page_id", "paragraph_id", "reason").unionByName(missing)
 
 
 def span_breaks(claims: DataFrame, targets: DataFrame) -> DataFrame:
-    """Targets whose claims overlap, leave more than white space uncovered or run past the end: (target, reason)."""
+    """Targets whose claims overlap, leave more than white space uncovered or run past the end, offsets in UTF-16 units: (target,
+    reason)."""
     by = Window.partitionBy("target").orderBy("start")
     joined = claims.join(targets, "target").withColumn("was", F.coalesce(F.lag("end").over(by), F.lit(0))).withColumn("next", F.lead("start").over(by))
-    blank = lambda a, b: F.trim(F.substring(F.col("text"), a + 1, b - a)) == ""
+    length = utf16_length(F.col("text"))
+    blank = lambda a, b: normalize(slice_utf16(F.col("text"), a, b)) == ""
     reason = (
         F.when(F.col("start") < F.col("was"), "overlap").when((F.col("start") > F.col("was")) & ~blank(F.col("was"), F.col("start")), "gap")
-        .when(F.col("end") > F.length("text"), "past the end").when(F.col("next").isNull() & (F.col("end") < F.length("text")) & ~blank(F.col("end"), F.length("text")), "tail")
+        .when(F.col("end") > length, "past the end").when(F.col("next").isNull() & (F.col("end") < length) & ~blank(F.col("end"), length), "tail")
     )
     return joined.withColumn("reason", reason).where("reason is not null").select("target", "reason")
 
@@ -113,17 +117,19 @@ def audit_claims(claims: DataFrame, quotes: DataFrame) -> DataFrame:
     """claims (claim_id, claim) against valid quotes (claim_id, quote): claim_id, status and a status for each kind.
 
     supported: the claim is part of a quote; contradicted: a quote or a sentence of one conflicts; unknown otherwise. A kind
-    is a conflict, absent (the claim has none), matched (supported) or unresolved.
+    is a conflict, absent (the claim has none), matched (supported) or unresolved. Candidates whose words that no pattern can
+    touch differ from the claim's can't conflict and are passed over before the patterns are tried.
     """
-    exact = F.coalesce((F.length("claim") > 0) & F.contains(F.col("quote"), F.col("claim")), F.lit(False))
-    joined = claims.join(quotes, "claim_id", "left").withColumn("hit", exact)
-    held = joined.groupBy("claim_id").agg(F.bool_or("hit").alias("held"))
-    joined = joined.join(held, "claim_id")
-    sought = joined.where("not held").withColumn("candidate", F.explode_outer(F.array_distinct(F.concat(F.array("quote"), F.coalesce(sentences("quote"), F.array().cast("array<string>"))))))
-    joined = joined.where("held").withColumn("candidate", F.lit(None).cast("string")).unionByName(sought)
-    exact = F.col("hit")
-    flags = {k: F.coalesce(F.bool_or(c), F.lit(False)).alias(f"x_{k}") for k, c in audit_pair(F.col("claim"), F.col("candidate")).items()}
-    per = joined.groupBy("claim_id", "claim").agg(F.coalesce(F.bool_or(exact), F.lit(False)).alias("exact"), *flags.values())
+    hit = F.coalesce((F.length("claim") > 0) & F.contains(F.col("quote"), F.col("claim")), F.lit(False))
+    known = claims.withColumn("words", untouched_words(F.col("claim"))).withColumn("joins", F.col("claim").rlike(JOINING))
+    joined = known.join(quotes, "claim_id", "left").withColumn("hit", hit)
+    held = joined.groupBy("claim_id", "claim").agg(F.bool_or("hit").alias("exact"))
+    sought = joined.where(~F.col("hit")).withColumn("candidate", F.explode(F.array_distinct(F.concat(F.array("quote"), F.coalesce(sentences("quote"), F.array().cast("array<string>"))))))
+    like = (F.col("words") == untouched_words(F.col("candidate"))) | F.col("joins") | F.col("candidate").rlike(JOINING)  # no conflict is lost
+    flags = [F.bool_or(F.coalesce(c, F.lit(False))).alias(f"x_{k}") for k, c in audit_pair(F.col("claim"), F.col("candidate")).items()]
+    found = sought.where(like).groupBy("claim_id").agg(*flags)
+    none = [F.coalesce(f"x_{k}", F.lit(False)).alias(f"x_{k}") for k in AUDIT]
+    per = held.join(found, "claim_id", "left").select("claim_id", "claim", "exact", *none)
     conflict = {k: ~F.col("exact") & F.col(f"x_{k}") for k in AUDIT}
     status = F.when(F.col("exact"), "supported").when(reduce(Column.__or__, conflict.values()), "contradicted").otherwise("unknown")
     kinds = [F.when(conflict[k], "conflict").when(F.size(audit_values(F.col("claim"), k)) == 0, "absent").when(F.col("exact"), "matched").otherwise("unresolved").alias(k) for k in AUDIT]
@@ -161,22 +167,24 @@ def report_coverage(facts: DataFrame, claims: DataFrame) -> DataFrame:
     return kept.join(cited, "page_id")
 
 
-def markdown_lines(facts: DataFrame) -> DataFrame:
-    """(page_id, ordinal, line): the ledger section of the Markdown report."""
+def markdown_lines(facts: DataFrame, *more: str) -> DataFrame:
+    """(page_id, ordinal, line) and further columns: the ledger section of the Markdown report."""
     line = F.concat(F.lit("- "), markdown_text(F.col("fact_id")), F.lit(" ("), markdown_text(F.col("paragraph_id")), F.lit(":"), F.col("start"), F.lit("–"), F.col("end"), F.lit(") — "), markdown_text(F.col("quote")))
-    return facts.select("page_id", "ordinal", line.alias("line"))
+    return facts.select("page_id", "ordinal", line.alias("line"), *more)
 
 
 def render_markdown(pages: DataFrame, facts: DataFrame, claims: DataFrame) -> DataFrame:
     """(page_id, markdown): the whole extractive report of each page: summary, key points, conclusion, ledger, coverage, audits."""
     of = lambda t: F.max(F.when(F.col("target") == t, F.col("text")))
-    ends = claims.groupBy("page_id").agg(of("page.summary").alias("summary"), of("conclusion").alias("conclusion"), F.sort_array(F.collect_list(F.struct("target", "status"))).alias("audits"))
-    lines = markdown_lines(facts).join(facts.select("page_id", "ordinal", "quote", "paragraph_id"), ["page_id", "ordinal"])
+    section = F.regexp_extract("target", "^sections\\.([0-9]+)", 1).try_cast("int")
+    claims = claims.withColumn("place", F.when(F.col("target") == "page.summary", -1).when(F.col("target") == "conclusion", F.lit(2**31 - 1)).otherwise(F.coalesce(section, F.lit(2**31 - 2))))
+    ends = claims.groupBy("page_id").agg(of("page.summary").alias("summary"), of("conclusion").alias("conclusion"), F.sort_array(F.collect_list(F.struct("place", "target", "status"))).alias("audits"))
+    lines = markdown_lines(facts, "quote", "paragraph_id")
     listed = lines.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "line", "quote", "paragraph_id"))).alias("rows"))
     row = lambda f: F.array_join(F.transform("rows", f), "\n")
     points = row(lambda x: F.concat(F.lit("- "), markdown_text(x["quote"]), F.lit("\n\n_Source: "), markdown_text(x["paragraph_id"]), F.lit("_\n")))
     audits = F.array_join(F.transform("audits", lambda x: F.concat(F.lit("- "), markdown_text(x["target"]), F.lit(": "), x["status"])), "\n")
-    n, chars = F.size("rows"), F.aggregate("rows", F.lit(0), lambda a, x: a + F.length(x["quote"]))
+    n, chars = F.size("rows"), F.aggregate("rows", F.lit(0), lambda a, x: a + utf16_length(x["quote"]))
     parts = [
         F.lit("# "), markdown_text(F.coalesce("title", "url")), F.lit("\n\n## Summary\n\n"), markdown_text(F.col("summary")), F.lit("\n\n## Key points\n\n"), points, F.lit("\n## Conclusion\n\n"), markdown_text(F.col("conclusion")),
         F.lit("\n\n## Retained source quotes (verbatim, untrusted)\n\n"), row(lambda x: x["line"]), F.lit("\n\n## Source coverage\n\n"), chars, F.lit("/"), chars, F.lit(" UTF-16; "), n, F.lit(" quotes; model citations 0; summary citations 1.\n\n"), audits, F.lit("\n"),

@@ -26,7 +26,7 @@ def pixel_region(w: Column, h: Column, x: Column, y: Column, rw: Column, rh: Col
 def resize_target(w: Column, h: Column, side: int = MAX_SIDE) -> Column:
     """Size within ``side`` at the same proportions, never enlarged."""
     scale = F.least(F.lit(1.0), F.lit(float(side)) / F.greatest(w, h))
-    return F.struct(F.greatest(F.lit(1), F.round(w * scale)).cast("int").alias("width"), F.greatest(F.lit(1), F.round(h * scale)).cast("int").alias("height"))
+    return F.struct(F.greatest(F.lit(1), F.floor(w * scale)).cast("int").alias("width"), F.greatest(F.lit(1), F.floor(h * scale)).cast("int").alias("height"))
 
 
 def tiles(images: DataFrame, tile_w: int, tile_h: int, overlap: float = OVERLAP, max_tiles: int = 16) -> DataFrame:
@@ -56,6 +56,12 @@ def transformed(x: Column, y: Column, w: Column, h: Column, m: tuple[float, ...]
     return F.struct(cx.alias("x"), cy.alias("y"), F.least(width, page_w - cx).alias("w"), F.least(height, page_h - cy).alias("h"))
 
 
+def rescaled(boxes: DataFrame, image_w: int, image_h: int, page_w: float, page_h: float) -> DataFrame:
+    """Boxes (x, y, w, h) in pixels of an image as boxes in points of its page."""
+    sx, sy = page_w / image_w, page_h / image_h
+    return boxes.withColumns({k: F.col(k) * s for k, s in (("x", sx), ("y", sy), ("w", sx), ("h", sy))})
+
+
 def reading_order(boxes: DataFrame, page: str = "page_id") -> DataFrame:
     """Adds the place of each box on its page: from top to bottom, then left to right, then as given."""
     return boxes.withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy("y", "x", "ord")))

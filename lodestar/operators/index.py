@@ -2,66 +2,64 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import terms_of, utf16_length, with_terms
+from ..storage import stored
+from ..functions.text import slice_utf16, terms_of, utf16_length, with_terms
 
 # Fixed values of the scoring and of its limits.
 K1, B, CHUNK, TOP_K, MAX_SCORED, MAX_TERMS = 1.2, 0.75, 1200, 8, 10_000, 256
-BREAK = re.compile("[\r\n]+|[.!?。！？]+(?=\\s)\\s+")
+#: White space of the chunk contract, and the two kinds of break.
+BLANK = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+LINE_END, SENTENCE_END = re.compile("\n+"), re.compile(f"[.!?。！？]([{BLANK}]+)")
 CHUNKS = "doc_id string, chunk_id string, start_offset int, end_offset int, block_id string, text string"
 
 
-def _units(text: str) -> list[int]:
-    """Start of each code point in UTF-16 units, and the end."""
-    out, at = [], 0
-    for c in text:
-        out.append(at)
-        at += 2 if ord(c) > 0xFFFF else 1
-    return [*out, at]
-
-
-def block_ranges(length: int, blocks: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int]]:
-    """Blocks in order with the gaps between and around them."""
-    out, at = [], 0
-    for name, start, end in sorted(blocks, key=lambda b: b[1]):
-        if start > at:
-            out.append((None, at, start))
-        out.append((name, start, end))
-        at = end
-    return [*out, (None, at, length)] if at < length else out
+def utf16_places(text: str):
+    """The UTF-16 offset of each code point and of the end."""
+    return np.concatenate([[0], np.cumsum(1 + (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) > 0xFFFF))])
 
 
 def chunk_spans(text: str, size: int = CHUNK, blocks: list[tuple[str, int, int]] = ()) -> list[tuple[str | None, int, int, str]]:
     """(block, start, end, text) of a document's chunks, offsets in UTF-16 units.
 
-    Each range is cut every ``size`` units, or after the last line or sentence end in the second half of that stretch; no
-    surrogate pair is split, no chunk crosses a range, and blank chunks are passed over.
+    The breaks of the whole text are found once. A range is cut every ``size`` units, or at the last break in the second half
+    of that stretch, which a binary search finds; white space that goes on beyond the stretch counts up to its end. No
+    surrogate pair is split, no chunk crosses an edge of a block, and blank chunks are passed over.
     """
-    raw = text.encode("utf-16-le", "surrogatepass")
-    part = lambda a, b: raw[2 * a : 2 * b].decode("utf-16-le", "surrogatepass")
-    high = lambda i: 0xD8 <= raw[2 * i + 1] <= 0xDB
+    places = utf16_places(text)
+    lines = [(m.start(), m.start(), m.end()) for m in LINE_END.finditer(text)]
+    marks = [(m.start(), m.start(1), m.end()) for m in SENTENCE_END.finditer(text)]
+    tables = [np.array([places[list(x)] for x in found]).reshape(-1, 3) for found in (lines, marks)]  # from, blank from, to
+
+    def last_break(start: int, end: int) -> int:
+        best = -1
+        for table, inside in zip(tables, (2, 0), strict=True):  # of line ends a part is enough, of sentence ends the mark is needed
+            i = int(np.searchsorted(table[:, 1], end)) - 1
+            if i >= 0 and (table[i, 2] > start if inside else table[i, 0] >= start):
+                best = max(best, min(int(table[i, 2]), end))
+        return best
+
+    edges = [0, *(e for _, a, b in sorted(blocks, key=lambda x: x[1]) for e in (a, b)), int(places[-1])]
+    names = [None, *(n for name, _, _ in sorted(blocks, key=lambda x: x[1]) for n in (name, None))]
     out = []
-    for name, start, stop in block_ranges(len(raw) // 2, list(blocks)):
-        while start < stop:
-            end = min(start + size, stop)
-            if end < stop:
-                if high(end - 1):
-                    end -= 1
-                piece = part(start, end)
-                units = _units(piece)
-                cuts = [units[m.end()] for m in BREAK.finditer(piece) if units[m.end()] >= size / 2]
-                if cuts:
-                    end = start + cuts[-1]
-            piece = part(start, end)
-            if piece.strip():
-                out.append((name, start, end, piece))
-            start = end
+    for name, at, stop in zip(names, edges, edges[1:], strict=False):
+        while at < stop:
+            end = min(at + size, stop)
+            end = int(places[np.searchsorted(places, end, "right") - 1])
+            if end < stop and 2 * ((cut := last_break(at, end)) - at) >= size:
+                end = cut
+            piece = text[np.searchsorted(places, at) : np.searchsorted(places, end)]
+            if piece.strip(BLANK):
+                out.append((name, at, end, piece))
+            at = end
     return out
 
 
@@ -76,7 +74,7 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK) -> DataFrame:
             for r in pdf.itertuples():
                 own = [(b["id"], b["startOffset"], b["endOffset"]) for b in r.blocks] if blocks and r.blocks is not None else []
                 for name, start, end, piece in chunk_spans(r.text or "", size, own):
-                    out.append((r.doc_id, f'["{r.doc_id}",{start},{end}]', start, end, name, piece))
+                    out.append((r.doc_id, json.dumps([r.doc_id, start, end], ensure_ascii=False, separators=(",", ":")), start, end, name, piece))
             yield pd.DataFrame(out, columns=["doc_id", "chunk_id", "start_offset", "end_offset", "block_id", "text"])
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", *(["blocks"] if blocks else [])).mapInPandas(run, CHUNKS)
@@ -125,7 +123,7 @@ def matches(chunks: DataFrame, terms: DataFrame, restrict: DataFrame | None = No
     stats = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avg_len"))
     asked = terms.select("term").distinct()
     hits = split.select("chunk_id", "doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(asked, "term")
-    hits = hits.groupBy("term", "chunk_id", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    hits = stored(hits.groupBy("term", "chunk_id", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf")), "hits")  # texts are read once for them
     counted = hits.join(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").join(F.broadcast(stats))
     if restrict is not None:
         counted = counted.join(restrict.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -185,11 +183,6 @@ def quotes(docs: DataFrame, phrase: Column) -> DataFrame:
     return docs.where(at > 0).select("doc_id", start.alias("start"), (start + utf16_length(phrase)).alias("end"), phrase.alias("quote"))
 
 
-def slice_utf16(text: Column, start: Column, end: Column) -> Column:
-    """Units [start, end) of a text."""
-    return F.decode(F.substring(F.encode(text, "UTF-16BE"), 2 * start + 1, 2 * (end - start)), "UTF-16BE")
-
-
 def valid_citations(citations: DataFrame, docs: DataFrame) -> DataFrame:
     """citations (doc_id, version_id, start, end, quote) with valid: the version, the bounds and the slice all agree."""
     known = docs.select("doc_id", "text", F.sha2("text", 256).alias("now"))

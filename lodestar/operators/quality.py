@@ -82,6 +82,12 @@ def precision_recall(judged: DataFrame, facts: DataFrame) -> DataFrame:
     return per.select("case_id", "tp", "fp", fn.alias("fn"), F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", F.col("tp") + fn).alias("recall"))
 
 
+def missed_facts(judged: DataFrame, facts: DataFrame) -> DataFrame:
+    """(case_id, id): facts, a small closed set, that no true claim of a case is about."""
+    every = judged.select("case_id").distinct().join(F.broadcast(facts.select("id")))
+    return every.join(judged.where("reason is null").select("case_id", "id"), ["case_id", "id"], "left_anti")
+
+
 def records(texts: DataFrame) -> DataFrame:
     """texts (case_id, text) -> one row for each record sentence: case_id, place and the seven fields."""
     every = F.regexp_extract_all("text", F.lit(f"({RECORD})"), 1)
@@ -106,6 +112,15 @@ def score_records(found: DataFrame, oracle: DataFrame) -> DataFrame:
     return joined.select("f.case_id", "f.place", "f.code", F.when(F.col("o.code").isNull(), "unsupported").when(same, "true").otherwise("contradiction").alias("verdict"))
 
 
+def hierarchy_scores(texts: DataFrame, oracle: DataFrame) -> DataFrame:
+    """texts (case_id, part, n, text): the records of each part of a case (retained, generated, overview) judged apart: case_id,
+    part, code, verdict. A true record of a code that the part has had is a duplicate and counts for nothing."""
+    found = records(texts.select(F.struct("case_id", "part", "n").alias("case_id"), "text"))
+    judged = score_records(found, oracle).select("case_id.case_id", "case_id.part", "case_id.n", "place", "code", "verdict")
+    turn = F.row_number().over(Window.partitionBy("case_id", "part", "code", F.col("verdict") == "true").orderBy("n", "place"))
+    return judged.select("case_id", "part", "code", F.when((F.col("verdict") == "true") & (turn > 1), "duplicate").otherwise(F.col("verdict")).alias("verdict"))
+
+
 def stray_codes(texts: DataFrame) -> DataFrame:
     """(case_id, strays): codes in a text outside any record sentence; sentences are blanked, what is left is counted."""
     rest = F.regexp_replace("text", RECORD, " ")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: Protocols that a resource may have.
 SAFE = ("http", "https", "data")
 
@@ -47,21 +51,32 @@ def allowed_url(url: Column) -> Column:
     return scheme.isin(*SAFE) & ~url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@")
 
 
-def ancestry(spark, nodes: DataFrame, name: str = "nodes_for_ancestry") -> DataFrame:
-    """(id, ancestor, depth) of a forest of (id, parent_id), the node itself at depth 0: a recursive query."""
-    nodes.createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE up(id, ancestor, next, depth) AS (
-          SELECT id, id, parent_id, 0 FROM {name}
-          UNION ALL SELECT u.id, n.id, n.parent_id, u.depth + 1 FROM up u JOIN {name} n ON u.next = n.id)
-        SELECT id, ancestor, depth FROM up""")
-
-
-def cyclic_parents(spark, nodes: DataFrame, limit: int = 64) -> DataFrame:
-    """Nodes that don't reach a root within ``limit`` steps: pointer doubling, so a few joins whatever the depth."""
-    step = nodes.select("id", F.col("parent_id").alias("up"))
-    for _ in range(max(1, limit.bit_length() - 1)):
-        step = step.alias("a").join(step.alias("b"), F.col("a.up") == F.col("b.id"), "left").select(F.col("a.id"), F.col("b.up"))
+def ancestry(nodes: DataFrame) -> DataFrame:
+    """(id, ancestor, depth) of a forest of (id, parent_id), the node itself at depth 0: a join for each level, whose rows are
+    stored. A cycle is an error."""
+    up = stored(nodes.select("id", "parent_id"), "ancestry-nodes")
+    front = up.select("id", F.col("id").alias("ancestor"), F.col("parent_id").alias("next"), F.lit(0).alias("depth"))
+    levels, most = [front], up.count()
+    while not front.where("next is not null").isEmpty():
+        if len(levels) > most:
+            raise ValueError("the containers have a cycle")
+        step = front.join(up.select(F.col("id").alias("next"), F.col("parent_id").alias("after")), "next")
+        front = stored(step.select("id", F.col("next").alias("ancestor"), F.col("after").alias("next"), (F.col("depth") + 1).alias("depth")), "ancestry-level")
+        levels.append(front)
+    return reduce(DataFrame.unionAll, levels).select("id", "ancestor", "depth")
+
+
+def cyclic_parents(nodes: DataFrame) -> DataFrame:
+    """Nodes that never reach a root. Pointers double with each join, until a round brings no node to a root: then no chain is
+    longer, whatever its depth."""
+    step = stored(nodes.select("id", F.col("parent_id").alias("up")), "cycles")
+    left = step.where("up is not null").count()
+    while left:
+        step = step.alias("a").join(step.alias("b"), F.col("a.up") == F.col("b.id"), "left").select(F.col("a.id").alias("id"), F.col("b.up").alias("up"))
+        step = stored(step, "cycles")
+        was, left = left, step.where("up is not null").count()
+        if left == was:
+            break
     return step.where("up is not null").select("id")
 
 
@@ -70,8 +85,10 @@ def header_links(cells: DataFrame) -> DataFrame:
 
     Row headers: scope rowgroup in the cell's group, or row or none with rows that overlap and a smaller column. Column
     headers: colgroup with columns that overlap, or col or none with columns that overlap and a smaller row. Headers are put
-    at each row, column or group that they cover, so the interval join becomes equi-joins; a pair found twice counts once.
+    at each row, column or group that they cover, so the interval join becomes equi-joins; a pair found twice counts once. The
+    cells are stored first, as they are joined three times and may come from a parse.
     """
+    cells = stored(cells, "cells")
     head = cells.where("kind = 'header'").select(*(F.col(c).alias(f"h_{c}") for c in ("table_id", "cell_id", "row", "col", "row_span", "col_span", "row_group", "scope")))
     other = (F.col("table_id") == F.col("h_table_id")) & (F.col("cell_id") != F.col("h_cell_id"))
     pick = lambda df, axis: df.select("table_id", "cell_id", F.col("h_cell_id").alias("header_id"), F.lit(axis).alias("axis"))

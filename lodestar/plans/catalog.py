@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence, index
 from ..sources import html
-from . import evaluation_queries, evidence_queries, page_queries, retrieval_queries, stream_queries, structure_queries, text_queries  # noqa: F401
+from . import evaluation_queries, evidence_queries, index_queries, page_queries, report_queries, retrieval_queries, stream_queries, structure_queries, text_queries  # noqa: F401
 from .registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

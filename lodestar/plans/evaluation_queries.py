@@ -98,23 +98,37 @@ def artifact_compare(spark, sf_dir):
 
 
 @query("""
-    WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM conversations),
+    WITH t AS (SELECT conv_id, turn, text, CASE WHEN conv_id % 5 = 0 AND turn = 2 THEN 'system' WHEN conv_id % 7 = 0 AND turn = 1 THEN 'robot' WHEN conv_id % 11 = 0 AND turn = 3 THEN 'user' ELSE role END AS role FROM conversations),
+    m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS was FROM t),
     r AS (SELECT conv_id, turn, CASE WHEN role IS NULL OR role NOT IN ('system', 'user', 'assistant') THEN 'role' WHEN role = 'system' AND n > 1 THEN 'system not first'
           WHEN role <> 'system' AND role <> CASE WHEN was IS NULL OR was IN ('system', 'assistant') THEN 'user' ELSE 'assistant' END THEN 'alternation' WHEN n = 129 THEN 'too many' END AS reason FROM m)
     SELECT * FROM r WHERE reason IS NOT NULL""")
 def conv_alternation(spark, sf_dir):
-    return C.chat_faults(table(spark, sf_dir, "conversations"))
+    """Conversations with roles changed in three ways."""
+    at = lambda m, turn: (F.col("conv_id") % m == 0) & (F.col("turn") == turn)
+    role = F.when(at(5, 2), "system").when(at(7, 1), "robot").when(at(11, 3), "user").otherwise(F.col("role"))
+    return C.chat_faults(table(spark, sf_dir, "conversations").withColumn("role", role))
 
 
-@query("""
-    WITH s AS (SELECT *, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tk, CASE WHEN role = 'system' THEN 0 ELSE 1 END AS own FROM conversations),
-    f AS (SELECT *, sum(1 - own) OVER c AS fn, sum((1 - own) * tk) OVER c AS ft, sum(own) OVER b AS back, sum(own * tk) OVER b AS st FROM s WINDOW c AS (PARTITION BY conv_id), b AS (PARTITION BY conv_id ORDER BY own DESC, turn DESC ROWS UNBOUNDED PRECEDING)),
-    p AS (SELECT *, max(back) OVER w AS pn, max(st) OVER w AS pt FROM (SELECT *, ceil(back / 2.0) AS pair FROM f) WINDOW w AS (PARTITION BY conv_id, own, pair))
-    SELECT conv_id, turn, role, text FROM p WHERE own = 0 OR (pn + fn <= 6 AND pt + ft <= 400)""")
+def _window(most: int, tokens: int) -> str:
+    """Every even number of dropped messages is tried; the least that fits is the policy's."""
+    return f"""
+    WITH s AS (SELECT *, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tk, role <> 'system' AS own, row_number() OVER (PARTITION BY conv_id, role <> 'system' ORDER BY turn, role, text) - 1 AS place FROM conversations),
+    k AS (SELECT DISTINCT conv_id, unnest(range(0, 300, 2)) AS d FROM s),
+    c AS (SELECT conv_id, d, count(*) FILTER (NOT own OR place >= d) AS n, sum(tk) FILTER (NOT own OR place >= d) AS t, count(*) FILTER (own AND place >= d) AS r FROM k JOIN s USING (conv_id) GROUP BY conv_id, d),
+    b AS (SELECT conv_id, min(d) AS d FROM c WHERE n <= {most} AND t <= {tokens} AND (r > 0 OR d = 0) GROUP BY conv_id)"""
+
+
+@query(f"{_window(6, 400)} SELECT conv_id, turn, role, text FROM s JOIN b USING (conv_id) WHERE NOT own OR place >= d")
 def conv_drop_oldest(spark, sf_dir):
     return C.drop_oldest(table(spark, sf_dir, "conversations"), 6, 400)
 
 
+@query(f"{_window(6, 40)} SELECT DISTINCT conv_id, 'CONTEXT_LIMIT' AS code FROM s WHERE conv_id NOT IN (SELECT conv_id FROM b)")
+def conv_context_limit(spark, sf_dir):
+    return C.over_context(table(spark, sf_dir, "conversations"), 6, 40)
+
+
 @query("""SELECT conv_id, '{"version":1,"messages":[' || string_agg('{"role":"' || role || '","text":' || CAST(to_json(text) AS VARCHAR) || '}', ',' ORDER BY turn, role, text) || ']}' AS session FROM conversations GROUP BY conv_id""")
 def conv_export(spark, sf_dir):
     return C.export_sessions(table(spark, sf_dir, "conversations"))

@@ -60,7 +60,7 @@ _TABLE = '<table><caption>T</caption><tr><th id=x>A</th><th colspan=2 scope=colg
 
 
 @query("""
-    WITH k AS (SELECT * FROM (VALUES ('t1c4', 't1c3', 'row'), ('t1c5', 't1c3', 'row'), ('t1c6', 't1c3', 'row'), ('t1c7', 't1c3', 'row'), ('t1c4', 't1c2', 'column'), ('t1c5', 't1c2', 'column'), ('t1c6', 't1c2', 'column'), ('t1c7', 't1c2', 'column'), ('t1c3', 't1c1', 'column'), ('t1c2', 't1c1', 'row')) v(cell_id, header_id, axis))
+    WITH k AS (SELECT * FROM (VALUES ('t1r2c2', 't1r2c1', 'row'), ('t1r2c3', 't1r2c1', 'row'), ('t1r3c2', 't1r2c1', 'row'), ('t1r3c3', 't1r2c1', 'row'), ('t1r2c2', 't1r1c2', 'column'), ('t1r2c3', 't1r1c2', 'column'), ('t1r3c2', 't1r1c2', 'column'), ('t1r3c3', 't1r1c2', 'column'), ('t1r2c1', 't1r1c1', 'column'), ('t1r1c2', 't1r1c1', 'row')) v(cell_id, header_id, axis))
     SELECT page_id || ':t1' AS table_id, cell_id, header_id, axis FROM pages, k""")
 def page_tables(spark, sf_dir):
     """Each page with a table added; header links of its cells."""

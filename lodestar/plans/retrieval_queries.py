@@ -10,6 +10,8 @@ from ..operators import index as I
 from ..operators import vectors as V
 from .registry import query, table
 
+#: Rows of a ranking that fusion takes.
+CANDIDATES = 100
 QUESTIONS = {"q1": "the ering of thought", "q2": "tion und keit heit", "q3": "que mente ción los"}
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _TOKENS = rf"""
@@ -167,35 +169,21 @@ def _cosine(floor: str) -> str:
     return f"""
     WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
     u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM n),
-    s AS (SELECT q.vec_id AS query_id, u.vec_id, round(list_sum(list_transform(list_zip(q.v, u.v), lambda p: p[1] * p[2])), 9) AS score FROM u q JOIN u ON q.vec_id IN (0, 7, 42) AND u.vec_id <> q.vec_id),
+    s AS (SELECT q.vec_id AS query_id, u.vec_id, round(list_sum(list_transform(list_zip(q.v, u.v), lambda p: p[1] * p[2])), 9) AS score FROM u q JOIN u ON q.vec_id % 20 = 0 AND u.vec_id <> q.vec_id),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS INT) AS rank FROM s {floor})
     SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10"""
 
 
 @query(_cosine(""))
 def cosine_topk(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return V.cosine_ranking(e, e.where("vec_id in (0, 7, 42)"), 10)
-
-
-@query(_cosine("WHERE score >= 0.7"))
-def cosine_floor(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return V.cosine_ranking(e, e.where("vec_id in (0, 7, 42)"), 10, floor=0.7)
-
-
-@query()
-def cosine_topk_all(spark, sf_dir):
-    """Every row with an id divisible by 20 against all rows."""
     e = table(spark, sf_dir, "embeddings")
     return V.cosine_ranking(e, e.where("vec_id % 20 = 0"), 10)
 
 
-@query()
-def cosine_floor_all(spark, sf_dir):
-    """As cosine_topk_all, from a score of 0.7."""
+@query(_cosine("WHERE score >= 0.3"))
+def cosine_floor(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return V.cosine_ranking(e, e.where("vec_id % 20 = 0"), 10, floor=0.7)
+    return V.cosine_ranking(e, e.where("vec_id % 20 = 0"), 10, floor=0.3)
 
 
 @query(f"""
@@ -203,15 +191,17 @@ def cosine_floor_all(spark, sf_dir):
     lex AS (SELECT id, row_number() OVER (ORDER BY round(sum({_PART}), 9) DESC, id) AS rank FROM q JOIN p USING (term) JOIN d USING (term), s WHERE query_id = 'q1' GROUP BY id),
     n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
     u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM n),
-    sem AS (SELECT CAST(u.vec_id AS VARCHAR) AS id, row_number() OVER (ORDER BY round(list_sum(list_transform(list_zip(z.v, u.v), lambda p: p[1] * p[2])), 9) DESC, CAST(u.vec_id AS VARCHAR)) AS rank FROM u, u z WHERE z.vec_id = 7 AND u.vec_id <> 7),
-    f AS (SELECT id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM sem) GROUP BY id)
-    SELECT 'q1' AS query_id, id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank FROM f QUALIFY rank <= 10""")
+    sem AS (SELECT z.vec_id AS query_id, CAST(u.vec_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY z.vec_id ORDER BY round(list_sum(list_transform(list_zip(z.v, u.v), lambda p: p[1] * p[2])), 9) DESC, CAST(u.vec_id AS VARCHAR)) AS rank FROM u, u z WHERE z.vec_id % 20 = 0 AND u.vec_id <> z.vec_id),
+    every AS (SELECT DISTINCT vec_id AS query_id FROM u WHERE vec_id % 20 = 0),
+    f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT query_id, id, rank FROM every, lex WHERE rank <= 100 UNION ALL SELECT * FROM sem WHERE rank <= 100) GROUP BY query_id, id)
+    SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM f QUALIFY rank <= 10""")
 def rrf_hybrid(spark, sf_dir):
+    """One question with each vector whose id is divisible by 20: the first CANDIDATES of both rankings are fused."""
     e = table(spark, sf_dir, "embeddings")
-    scored = I.matches(_chunks(spark, sf_dir), I.query_terms(spark, {"q1": QUESTIONS["q1"]})).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    lexical = scored.select("query_id", F.col("chunk_id").alias("id"), order.alias("rank"))
-    semantic = V.cosine_ranking(e, e.where("vec_id = 7"), 2**31 - 1).select(F.lit("q1").alias("query_id"), F.col("vec_id").cast("string").alias("id"), "rank")
+    asked = e.where("vec_id % 20 = 0")
+    hits = I.search(_chunks(spark, sf_dir), I.query_terms(spark, {"q1": QUESTIONS["q1"]}), CANDIDATES).select(F.col("chunk_id").alias("id"), "rank")
+    lexical = asked.select(F.col("vec_id").alias("query_id")).distinct().join(F.broadcast(hits))  # CANDIDATES rows
+    semantic = V.cosine_ranking(e, asked, CANDIDATES).select("query_id", F.col("vec_id").cast("string").alias("id"), "rank")
     return V.reciprocal_rank_fusion(lexical.unionByName(semantic), 10)
 
 

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..streaming import streams as S
+from ..storage import fresh_dir
 from .registry import query, table
 
 
 def _folder(spark) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A fresh folder that driver and executors share."""
+    return fresh_dir(spark, "stream")
 
 
 def _collected(spark, stream, where: str):

@@ -47,13 +47,13 @@ def _tree(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_NODES}, u AS (SELECT id, id AS ancestor, parent_id AS nxt, 0 AS depth FROM n UNION ALL SELECT u.id, n.id, n.parent_id, u.depth + 1 FROM u JOIN n ON u.nxt = n.id) SELECT id, ancestor, depth FROM u")
 def container_ancestry(spark, sf_dir):
-    return R.ancestry(spark, _tree(spark, sf_dir))
+    return R.ancestry(_tree(spark, sf_dir))
 
 
 @query("SELECT id FROM (SELECT 'x' AS id UNION ALL SELECT 'y') v")
 def cyclic_parents(spark, sf_dir):
     """A tree with one loop added: only the loop's nodes are found."""
-    return R.cyclic_parents(spark, _tree(spark, sf_dir).unionAll(spark.createDataFrame([("x", "y"), ("y", "x")], "id string, parent_id string")))
+    return R.cyclic_parents(_tree(spark, sf_dir).unionAll(spark.createDataFrame([("x", "y"), ("y", "x")], "id string, parent_id string")))
 
 
 #: Cells made of order lines: a table for each order, columns by line number, three rows; the first row and column are headers.

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from lodestar.streaming import streams
 def test_terms_of_cjk_astral_and_compatibility_forms(spark):
     assert T.terms_of("銀河観測") == ["銀", "銀河", "河", "河観", "観", "観測", "測"]
     assert T.terms_of("The ﬁle １２ of 🌳 x") == ["file", "12", "x"]
+    assert T.terms_of("the銀河") == ["銀", "銀河", "河"] and T.terms_of("佐々木") == ["佐", "佐々", "々", "々木", "木"] and T.terms_of("データ") == ["デ", "ー", "タ"]
     df = spark.createDataFrame([(1, "The ﬁle 観測"), (2, "plain Text, the end"), (3, None)], "id int, text string")
     got = {r["id"]: r["terms"] for r in T.with_terms(df).collect()}
     assert got == {1: ["file", "観", "観測", "測"], 2: ["plain", "text", "end"], 3: []}
@@ -39,6 +41,28 @@ def test_chunks_cover_everything_in_utf16_units():
     assert all(a[2] == b[1] for a, b in zip(spans, spans[1:])) and all(raw[2 * s : 2 * e].decode("utf-16-le") == t and e - s <= 128 for _, s, e, t in spans)
     assert [s[:3] for s in index.chunk_spans("ab🌳cd", 64, [("b1", 2, 4)])] == [(None, 0, 2), ("b1", 2, 4), (None, 4, 6)]
     assert index.chunk_spans("x" * 63 + "🌳" + "y" * 10, 64)[0][2] == 63
+    assert [s[1:3] for s in index.chunk_spans("x" * 40 + ". " + "y" * 40, 64)] == [(0, 42), (42, 82)]
+    assert [s[1:3] for s in index.chunk_spans("x" * 40 + "\r" + "y" * 40, 64)] == [(0, 64), (64, 81)]  # a lone CR is no line end
+    assert [s[1:3] for s in index.chunk_spans("x" * 62 + "." + " " * 40 + "y" * 40, 64)] == [(0, 64), (64, 128), (128, 143)]
+
+
+def test_chunks_equal_a_scan_of_each_stretch():
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(("a", "b ", ". ", ".", "\n", "\n\n", "  ", "🌳", "。", "! \n")) for _ in range(rng.randint(0, 300)))
+        size, raw, at, want = rng.choice((8, 16, 64)), text.encode("utf-16-le"), 0, []
+        while at < len(raw) // 2:
+            end = min(at + size, len(raw) // 2)
+            end -= end < len(raw) // 2 and 0xDC <= raw[2 * end + 1] <= 0xDF
+            piece = raw[2 * at : 2 * end].decode("utf-16-le")
+            if end < len(raw) // 2:
+                ends = [len(piece[: m.end()].encode("utf-16-le")) // 2 for m in re.finditer(r"\n+|[.!?。！？][ \n]+", piece)]
+                end = max([at + e for e in ends if e >= size / 2], default=end)
+            piece = raw[2 * at : 2 * end].decode("utf-16-le")
+            if piece.strip():
+                want.append((None, at, end, piece))
+            at = end
+        assert index.chunk_spans(text, size) == want
 
 
 def test_incremental_equals_rebuilt(spark):
@@ -146,7 +170,7 @@ def test_header_links_equal_a_scan_of_random_tables(spark):
 def test_explicit_headers_and_images(spark):
     page = html.extract_page(1, "", "<table><tr><th id=a>A<th id=b>B<th id=b>C</tr><tr><td headers='a b zz'>1</td></tr></table>")
     df = spark.createDataFrame([{**c, "table_id": "t"} for c in page["tables"][0]["cells"]], "table_id string, cell_id string, row int, col int, row_span int, col_span int, row_group int, kind string, scope string, html_id string, headers string, paragraph_ids array<string>")
-    assert [tuple(r) for r in relations.explicit_headers(df).collect()] == [("t", "t1c4", "t1c1")]
+    assert [tuple(r) for r in relations.explicit_headers(df).collect()] == [("t", "t1r2c1", "t1r1c1")]
     found = spark.createDataFrame([(1, 1, "u", "img", None, None), (1, 2, "u", "picture", "alt", "cap")], "page_id int, ord int, url string, kind string, alt string, caption string")
     row = relations.image_groups(found).first()
     assert row["alt"] == "alt" and row["discovered_by"] == ["img", "picture"]
@@ -156,7 +180,12 @@ def test_selection_and_cycles(spark):
     boxes = spark.createDataFrame([("c1", ["p1", "p2"]), ("c2", ["p3"])], "container_id string, paragraph_ids array<string>")
     assert [tuple(r) for r in relations.cascade_selection(boxes, ["p2"]).collect()] == [("c1", ["p2"])]
     nodes = spark.createDataFrame([("a", None), ("b", "a"), ("x", "y"), ("y", "x")], "id string, parent_id string")
-    assert {r["id"] for r in relations.cyclic_parents(spark, nodes).collect()} == {"x", "y"}
+    assert {r["id"] for r in relations.cyclic_parents(nodes).collect()} == {"x", "y"}
+    chain = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(150)] + [("x", "y"), ("y", "x"), ("z", "x")], "id string, parent_id string")
+    assert {r["id"] for r in relations.cyclic_parents(chain).collect()} == {"x", "y", "z"}
+    assert relations.ancestry(chain.where("id < 'x'").where("cast(substr(id, 2) as int) < 12")).count() == 12 * 13 // 2
+    with pytest.raises(ValueError, match="cycle"):
+        relations.ancestry(nodes)
 
 
 def test_tiles_regions_and_nucleus(spark):
@@ -210,6 +239,9 @@ def test_conversations(spark):
     with pytest.raises(Exception, match="version"):
         chat.import_sessions(spark.createDataFrame([(1, '{"version":2,"messages":[]}')], "conv_id long, session string")).collect()
     assert chat.branch(df, 1, 9, 2).count() == 3
+    odd = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(5)] + [(2, 0, "system", "s"), (2, 1, "user", "x" * 99)], "conv_id long, turn long, role string, text string")
+    assert [r["text"] for r in chat.drop_oldest(odd, 2, 10).orderBy("turn").collect()] == ["m4"]  # no half turn is left
+    assert [r["conv_id"] for r in chat.over_context(odd, 2, 10).collect()] == [2]
 
 
 def test_evidence(spark):
@@ -220,6 +252,10 @@ def test_evidence(spark):
     pages = spark.createDataFrame([(1, None, "https://e.org")], "page_id long, title string, url string")
     md = evidence.render_markdown(pages, facts, evidence.extractive_claims(facts)).first()["markdown"]
     assert "## Summary\n\nAdmission costs 7 dollars\\." in md and "Doors &lt;open&gt; at 9\\." in md and "<open>" not in md
+    astral = spark.createDataFrame([(1, 1, "p1", "A 🌳 tree.")], "page_id long, ordinal int, paragraph_id string, text string")
+    assert evidence.ledger_breaks(evidence.source_facts(astral), astral).count() == 0
+    spans = spark.createDataFrame([("t", 0, 4), ("t", 4, 10)], "target string, start int, end int")
+    assert evidence.span_breaks(spans, spark.createDataFrame([("t", "A 🌳 tree.")], "target string, text string")).count() == 0
     assert evidence.split_sentences("One. Two! 三。 four") == ["One.", "Two!", "三。", "four"]
 
 
@@ -276,7 +312,7 @@ def test_cosine_ranking_of_many_queries_in_blocks(spark, sf, monkeypatch):
     ids = sorted(rows)
     u = np.stack([rows[i] / np.sqrt((rows[i] ** 2).sum()) for i in ids])
     dots = u @ u.T
-    for floor, name in ((None, "cosine_topk_all"), (0.7, "cosine_floor_all")):
+    for floor, name in ((None, "cosine_topk"), (0.3, "cosine_floor")):
         monkeypatch.setattr(vectors, "BLOCK", 7)
         got = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 7)) for r in catalog.QUERIES[name](spark, sf).collect()}
         want = {}
