@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, spread  # noqa: F401
+
 #: White space of the text contracts: \x20 and \x09-\x0D.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that one vectorised step works on; longer texts make a step of their own.
@@ -18,15 +19,6 @@ STEP_BYTES = 1 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of our own only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: the rows as a Parquet table in the shared folder, read again.
 

@@ -8,7 +8,8 @@ from . import exact_dedup, html, langid, mixing, ngram_join, packing, quality, s
 
 
 def table(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt to all cores where it has fewer splits than there are."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_exact_topk(spark, sf_dir):
