@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, spread  # noqa: F401
+from ..storage import shared_dir
 
 #: White space of the text contracts: \x20 and \x09-\x0D.
 SPACES = b" \t\n\x0b\x0c\r"

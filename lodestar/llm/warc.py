@@ -14,7 +14,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from ..storage import shared_dir
+from .common import stored
 
 #: Fixed values of the format: the skippable frame that holds the dictionary, a frame's magic number, an empty skippable frame.
 DICT_MAGIC, FRAME_MAGIC, EMPTY_FRAME = 0x184D2A5D, 0xFD2FB528, "P*M\x18\x00\x00\x00\x00"
