@@ -327,7 +327,7 @@ def mixed_lists(lists: DataFrame) -> DataFrame:
     return lists.join(sizes.where("lo <> hi").select("key", "m"), "key")
 
 
-def residual_links(shared: DataFrame, labels: DataFrame, near: DataFrame, texts: DataFrame, k: int, num: int, den: int, best: bool) -> DataFrame:
+def residual_links(shared: DataFrame, labels: DataFrame, near: DataFrame, reps: DataFrame, base: DataFrame, k: int, num: int, den: int, best: bool) -> DataFrame:
     """(a, b) components that a link joins, from the lists whose members are not yet of one component.
 
     With best each component sends one member to a list, so few pairs are enough to join most. A list of more than LIST_BLOCK
@@ -349,12 +349,22 @@ def residual_links(shared: DataFrame, labels: DataFrame, near: DataFrame, texts:
     known = lists.join(near.select("cid", "n", "bits"), "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = stored(known.mapInArrow(lambda b: _suspects(b, num, den, best), f"key long, {EDGES}"), "join-pairs")
     pairs = pairs.groupBy("a", "b").agg(F.min("key").alias("key"))
-    members = pairs.select("key", F.explode(F.array("a", "b")).alias("cid")).distinct()
-    links = searched(members.join(texts, "cid").withColumn("block", F.lit(0)), k, num, den)
+    members = pairs.select(F.explode(F.array("a", "b")).alias("cid"), "key", F.lit(0).alias("block")).distinct()
+    links = searched(with_texts(members, reps, base), k, num, den)
     side = lambda x: labels.select(F.col("cid").alias(x), F.col("comp").alias(f"c{x}"))
     return links.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
 
 
+def with_texts(members: DataFrame, reps: DataFrame, base: DataFrame) -> DataFrame:
+    """members (cid, key, block) with d1 and the text of each class, of its first document. The documents are read again and a
+    bounded map of hashed ids keeps back almost all others, so no more texts are shuffled than are searched."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    wanted = marked(reps, F.col("cid"), members.select(F.col("cid").alias("mark"))).join(members, "cid")
+    wanted = stored(wanted.select("cid", "rep", "d1", "key", "block"), "join-wanted")
+    few = marked(base, place("doc_id"), wanted.select(place("rep").alias("mark")), True)
+    return few.join(wanted, few["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "d1", "key", "block", "text")
+
+
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     links = stored(links, "join-links")
     if links.isEmpty():
@@ -384,17 +394,12 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     near = stored(marked(sketch, F.col("row"), shared.select(F.col("cid").alias("mark"))).select(F.col("row").alias("cid"), "n", "bits", F.col("low").alias("key")), "join-near")
     groups = near.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("m > 1")
     parts = F.greatest(F.ceil(F.col("m") / F.lit(BLOCK_SETS)), F.ceil(F.col("s") / F.lit(BLOCK_SHINGLES)))
-    blocks = near.join(groups, "key", "left").select("cid", F.when(F.col("m") > 1, F.col("key")).alias("key"), F.pmod(F.xxhash64("cid"), parts).cast("int").alias("block"))
-    wanted = stored(blocks.join(reps, "cid").select("cid", "rep", "d1", "key", "block"), "join-wanted")
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
-    few = marked(base, place("doc_id"), wanted.select(place("rep").alias("mark")), True)  # others go no further
-    texts = stored(few.join(wanted, few["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "d1", "key", "block", "text"), "join-texts")
-    found = searched(texts.where("key is not null"), k, num, den)
+    blocks = near.join(groups, "key").select("cid", "key", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("block"))
+    found = searched(with_texts(blocks, reps, base), k, num, den)
     labels = reps.select("cid").join(found, reps["cid"] == found["a"], "left").select("cid", F.coalesce("b", "cid").alias("comp"))
     labels = stored(labels, "join-labels")
-    texts = texts.select("cid", "d1", "text")
     for best in (True, False):
-        labels = relabel(labels, residual_links(shared, labels, near, texts, k, num, den, best))
+        labels = relabel(labels, residual_links(shared, labels, near, reps, base, k, num, den, best))
     members = reps.join(labels, "cid")
     lowest = members.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = members.join(lowest, "comp").select("d1", "d2", "n", "component_id")
