@@ -273,8 +273,7 @@ def folded(bits: list[bytes], size: int) -> np.ndarray:
 
 def _suspects(batches: Iterator, num: int, den: int, best: bool) -> Iterator:
     """Pairs (a, b) of a list (key, i, j) whose components differ and whose sizes and parity bits allow a link. With best only as
-    many, the likeliest first, as would join the list's components if all were links. Else a list with more pairs than members
-    gives the members that are in a pair, with b null and a block of their own, so no list makes more rows than it has."""
+    many, the likeliest first, as would join the list's components if all were links."""
     import pyarrow as pa
 
     for t in _runs(batches, ["key", "i", "j"]):
@@ -283,8 +282,7 @@ def _suspects(batches: Iterator, num: int, den: int, best: bool) -> Iterator:
         bits = t.column("bits").to_pylist()
         order = np.lexsort((cid, n))
         n, cid, comp, blk, bits = n[order], cid[order], comp[order], blk[order], [bits[x] for x in order]
-        met, count, rows, block = [], 0, {}, 0
-        paired = np.zeros(len(n), bool)
+        out, rows = [], {}
         for x in range(1, len(n)):
             low = int(np.searchsorted(n[:x], least_overlap(int(n[x]), num, den)))
             y = np.arange(low, x)
@@ -296,29 +294,18 @@ def _suspects(batches: Iterator, num: int, den: int, best: bool) -> Iterator:
                 differ = np.bitwise_count(rows[size][y] ^ rows[size][x]).sum(1, dtype=np.int64)
                 most = (n[x] + n[y] - differ) // 2
                 ok = den * most >= num * (n[x] + n[y] - most)
-                if ok.any():
-                    count += int(ok.sum())
-                    paired[x] = True
-                    paired[y[ok]] = True
-                    if best or count <= len(n):
-                        met.append((x, y[ok], most[ok] / n[x]))
-        if not best and count > len(n):
-            block = 1 + (i << 20) + j
-            ends = [(c, None) for c in cid[paired].tolist()]
-        else:
-            out = [(float(m), x, int(z)) for x, y, most in met for z, m in zip(y, most, strict=True)]
-            if best and out:
-                joined, kept = {c: c for c in comp.tolist()}, []
-                for pair in sorted(out, reverse=True):
-                    a, b = joined[int(comp[pair[1]])], joined[int(comp[pair[2]])]
-                    if a != b:
-                        joined = {c: a if r == b else r for c, r in joined.items()}
-                        kept.append(pair)
-                out = kept
+                out += [(float(m / n[x]), x, int(z)) for z, m in zip(y[ok], most[ok], strict=True)]
+        if best and out:
+            joined, kept = {c: c for c in comp.tolist()}, []
+            for pair in sorted(out, reverse=True):
+                a, b = joined[int(comp[pair[1]])], joined[int(comp[pair[2]])]
+                if a != b:
+                    joined = {c: a if r == b else r for c, r in joined.items()}
+                    kept.append(pair)
+            out = kept
+        if out:
             ends = [(int(max(cid[x], cid[z])), int(min(cid[x], cid[z]))) for _, x, z in out]
-        if ends:
-            cols = {"key": [key] * len(ends), "block": [block] * len(ends), "a": [a for a, _ in ends], "b": [b for _, b in ends]}
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in cols.items()})
+            yield pa.RecordBatch.from_pydict({"key": pa.array([key] * len(out), pa.int64()), "a": pa.array([a for a, _ in ends], pa.int64()), "b": pa.array([b for _, b in ends], pa.int64())})
 
 
 def posted_lists(classes: DataFrame) -> DataFrame:
@@ -340,13 +327,6 @@ def mixed_lists(lists: DataFrame) -> DataFrame:
     return lists.join(sizes.where("lo <> hi").select("key", "m"), "key")
 
 
-def different_groups(members: DataFrame) -> DataFrame:
-    """members (cid, key, block) without the groups of (key, block) that have the very members of another, which stays."""
-    sums = members.groupBy("key", "block").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("x2"))
-    single = sums.groupBy("m", "x1", "x2").agg(F.min(F.struct("key", "block")).alias("g")).select("g.key", "g.block")
-    return members.join(single, ["key", "block"], "left_semi").select("cid", "key", "block")
-
-
 def residual_links(shared: DataFrame, labels: DataFrame, near: DataFrame, reps: DataFrame, base: DataFrame, k: int, num: int, den: int, best: bool) -> DataFrame:
     """(a, b) components that a link joins, from the lists whose members are not yet of one component.
 
@@ -367,11 +347,9 @@ def residual_links(shared: DataFrame, labels: DataFrame, near: DataFrame, reps:
     lists = lists.withColumn("blk", F.pmod(F.xxhash64("cid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     lists = lists.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cid", "comp")
     known = lists.join(near.select("cid", "n", "bits"), "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = stored(known.mapInArrow(lambda b: _suspects(b, num, den, best), f"key long, block long, {EDGES}"), "join-pairs")
-    pairs = found.where("b is not null").groupBy("a", "b").agg(F.min("key").alias("key"))
-    members = pairs.select(F.explode(F.array("a", "b")).alias("cid"), "key", F.lit(0).cast("long").alias("block")).distinct()
-    if not best:
-        members = members.unionByName(different_groups(found.where("b is null").select(F.col("a").alias("cid"), "key", "block")))
+    pairs = stored(known.mapInArrow(lambda b: _suspects(b, num, den, best), f"key long, {EDGES}"), "join-pairs")
+    pairs = pairs.groupBy("a", "b").agg(F.min("key").alias("key"))
+    members = pairs.select(F.explode(F.array("a", "b")).alias("cid"), "key", F.lit(0).alias("block")).distinct()
     links = searched(with_texts(members, reps, base), k, num, den)
     side = lambda x: labels.select(F.col("cid").alias(x), F.col("comp").alias(f"c{x}"))
     return links.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()

@@ -64,42 +64,6 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, k, num, den):
     assert got == components(rows, k, num, den)
 
 
-@pytest.mark.parametrize("size", [10**6, 9])
-def test_suspects_of_a_dense_list_are_its_members(spark, size):
-    """Pairs or members: of 40 sets that a link can't be ruled out for, no more rows than sets, and each pair is in some group."""
-    import pyarrow as pa
-
-    rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 40, 200).astype(np.uint64)
-    sets = [np.unique(np.concatenate([base, rng.integers(0, 1 << 40, 1 + i % 3).astype(np.uint64)])) for i in range(40)]
-    far = [np.unique(rng.integers(0, 1 << 40, 200).astype(np.uint64)) for _ in range(3)]
-    every = sets[:size] + far
-    cols = {"cid": range(len(every)), "key": [7] * len(every), "i": [0] * len(every), "j": [0] * len(every), "blk": [0] * len(every), "comp": range(len(every)), "n": [len(s) for s in every], "bits": [ngram_join.parity(s).tobytes() for s in every]}
-    batch = pa.RecordBatch.from_pydict({c: pa.array(v, pa.binary() if c == "bits" else pa.int64()) for c, v in cols.items()})
-    found = [r for b in ngram_join._suspects(iter([batch.slice(0, 20), batch.slice(20)]), 80, 100, False) for r in b.to_pylist()]
-    assert found and len(found) <= len(every) and {r["b"] for r in found} == {None} and {r["block"] for r in found} == {1}
-    assert {r["a"] for r in found} >= set(range(len(every) - 3))
-    assert not {r["a"] for r in found} & set(range(len(every) - 3, len(every)))
-
-
-def test_ngram_join_of_a_large_group_in_dense_lists(spark, monkeypatch):
-    """Copies of 128 shingles with 8 changed: most pairs are just below the similarity, where parity bits can't rule them out."""
-    rng = random.Random(11)
-    rows = []
-    for i in range(60):
-        t = [f"w{a}" for a in range(132)]
-        at = rng.randrange(5, 121)
-        t[at], t[at + 3] = f"e{i}", f"f{i}"
-        rows.append((i, " ".join(t)))
-    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 3)
-    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 20)
-    dense, real = [], ngram_join.different_groups
-    monkeypatch.setattr(ngram_join, "different_groups", lambda m: (dense.append(m.count()), real(m))[1])
-    got = {tuple(r) for r in ngram_join.ngram_components(table(spark, rows), 5, 80, 100).collect()}
-    want = components(rows, 5, 80, 100)
-    assert got == want and dense[0] > 0 and 1 < len({r[2] for r in want}) < 60
-
-
 def test_ngram_join_of_odd_tables(spark):
     assert ngram_join.ngram_components(table(spark, [])).collect() == []
     got = sorted(map(tuple, ngram_join.ngram_components(table(spark, [(1, None), (None, "a b"), (2, "a b"), (2, "a b"), (3, "")])).collect()), key=str)
