@@ -19,6 +19,8 @@ from .components import connected_components
 BLOCK_SETS, BLOCK_SHINGLES, LIST_BLOCK, PROBE = 250, 500_000, 1000, 0.5
 #: Least number of parts that a set is cut into, and the growth from one number to the next.
 PARTS, GROWTH = 4, 1.5
+#: Classes of keys of which each member of a list knows its least one, so that a pair in many lists is given by one of them.
+KEY_CLASSES = 16
 #: Bits of the map of hashed ids that spares most texts a shuffle; it has a row for 64 of them, which bounds its broadcast.
 MARKS = 1 << 24
 EDGES = "a long, b long"
@@ -271,22 +273,36 @@ def folded(bits: list[bytes], size: int) -> np.ndarray:
     return out
 
 
+def given_here(key: int, one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of the pairs of one list member with others, given their least keys of each class (0: none): whether this list gives them.
+
+    If two have the same least key of a class, they meet in that list; the least such key is the one list that gives the pair.
+    Without such a key all lists that both are in give it."""
+    most = np.iinfo(np.int64).max
+    least = np.where((others == one) & (one != 0), one, most).min(1, initial=most)
+    return (least == key) | (least == most)
+
+
 def _suspects(batches: Iterator, num: int, den: int, best: bool) -> Iterator:
     """Pairs (a, b) of a list (key, i, j) whose components differ and whose sizes and parity bits allow a link. With best only as
-    many, the likeliest first, as would join the list's components if all were links."""
+    many, the likeliest first, as would join the list's components if all were links; else those that this list is to give."""
     import pyarrow as pa
 
     for t in _runs(batches, ["key", "i", "j"]):
         n, cid, comp, blk = (t.column(c).to_numpy() for c in ("n", "cid", "comp", "blk"))
         key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
         bits = t.column("bits").to_pylist()
+        least = None if best else t.column("least").combine_chunks().flatten().to_numpy().reshape(len(t), KEY_CLASSES)
         order = np.lexsort((cid, n))
+        least = least if best else least[order]
         n, cid, comp, blk, bits = n[order], cid[order], comp[order], blk[order], [bits[x] for x in order]
         out, rows = [], {}
         for x in range(1, len(n)):
             low = int(np.searchsorted(n[:x], least_overlap(int(n[x]), num, den)))
             y = np.arange(low, x)
             y = y[(comp[y] != comp[x]) & ((blk[y] != blk[x]) if i != j else True)]
+            if not best:
+                y = y[given_here(key, least[x], least[y])]
             if len(y):
                 size = 8 * len(bits[int(y[0])])
                 if size not in rows:
@@ -327,13 +343,20 @@ def mixed_lists(lists: DataFrame) -> DataFrame:
     return lists.join(sizes.where("lo <> hi").select("key", "m"), "key")
 
 
+def least_keys(lists: DataFrame) -> DataFrame:
+    """(cid, least): the least key of each class among the lists (key, cid) of a member, 0 where it has none."""
+    least = [F.coalesce(F.min(F.when(F.col("key").bitwiseAND(KEY_CLASSES - 1) == c, F.col("key"))), F.lit(0)) for c in range(KEY_CLASSES)]
+    return lists.groupBy("cid").agg(F.array(*least).alias("least"))
+
+
 def residual_links(shared: DataFrame, labels: DataFrame, near: DataFrame, reps: DataFrame, base: DataFrame, k: int, num: int, den: int, best: bool) -> DataFrame:
     """(a, b) components that a link joins, from the lists whose members are not yet of one component.
 
     With best each component sends one member to a list, so few pairs are enough to join most. A list of more than LIST_BLOCK
     members gives way to lists by two such keys: linked sets share two parts, and if one is in a list that isn't long they
     meet there. What is still longer is cut into blocks, of which each two meet. The pairs that sizes and parity bits can't rule
-    out go to one of their lists, and T-occurrence search over the whole sets of its members decides.
+    out go to one of their lists, and T-occurrence search over the whole sets of its members decides. Near copies meet in many
+    lists; in the round over all members only the one with the least key that both know of gives the pair.
     """
     lists = shared.join(labels, "cid").select("key", "cid", "comp")
     if best:
@@ -343,10 +366,14 @@ def residual_links(shared: DataFrame, labels: DataFrame, near: DataFrame, reps:
     twice = hot.alias("x").join(hot.alias("y"), (F.col("x.cid") == F.col("y.cid")) & (F.col("x.key") < F.col("y.key")))
     twice = mixed_lists(twice.select(F.xxhash64("x.key", "y.key").alias("key"), F.col("x.cid").alias("cid"), F.col("x.comp").alias("comp")))
     lists = lists.where(F.col("m") <= LIST_BLOCK).unionByName(twice)
+    known = near.select("cid", "n", "bits")
+    if not best:
+        lists = stored(lists, "join-met")
+        known = known.join(least_keys(lists), "cid")
     parts = F.ceil(F.col("m") / F.lit(LIST_BLOCK)).cast("int")
     lists = lists.withColumn("blk", F.pmod(F.xxhash64("cid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     lists = lists.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cid", "comp")
-    known = lists.join(near.select("cid", "n", "bits"), "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    known = lists.join(known, "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = stored(known.mapInArrow(lambda b: _suspects(b, num, den, best), f"key long, {EDGES}"), "join-pairs")
     pairs = pairs.groupBy("a", "b").agg(F.min("key").alias("key"))
     members = pairs.select(F.explode(F.array("a", "b")).alias("cid"), "key", F.lit(0).alias("block")).distinct()

@@ -128,6 +128,27 @@ def test_parity_never_overstates_the_difference():
         assert differ <= len(np.setxor1d(a, b))
 
 
+def test_each_pair_is_given_by_a_list_that_both_are_in():
+    rng = np.random.default_rng(6)
+    for share in (0.05, 0.5, 0.9):
+        pool = rng.integers(-(1 << 62), 1 << 62, 60)
+        own = [{int(k) for k in pool if rng.random() < share} for _ in range(25)]
+        least = np.array([[min((k for k in s if k % ngram_join.KEY_CLASSES == c), default=0) for c in range(ngram_join.KEY_CLASSES)] for s in own])
+        for i in range(25):
+            for j in range(i):
+                given = [k for k in own[i] & own[j] if ngram_join.given_here(k, least[i], least[[j]])[0]]
+                classes = [k for k in least[i] if k and k in least[j]]
+                assert given == [min(classes)] if classes else set(given) == own[i] & own[j]
+
+
+def test_least_keys(spark):
+    keys = [-33, -17, -1, 15, 31, 0, 16, 5]
+    got = ngram_join.least_keys(spark.createDataFrame([(k, 7) for k in keys] + [(4, 8)], "key long, cid long")).collect()
+    want = {7: [0] * 16, 8: [0] * 16}
+    want[7][15], want[7][5], want[8][4] = -33, 5, 4
+    assert {r["cid"]: r["least"] for r in got} == want
+
+
 def test_exact_dedup(spark):
     rows = [(5, "a  b"), (3, "a\n\tb"), (9, "a b"), (1, None), (2, ""), (7, " "), (8, "\t\n"), (4, "b a"), (4, "b a"), (None, "a b"), (None, "only")]
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(table(spark, rows)).collect()), key=str)
