@@ -59,31 +59,32 @@ def feasible(cells: DataFrame, axis: str, targets: DataFrame, budget: float) ->
     return _filled(rows, F.lit(0), F.lit(budget)).select(F.col(axis).alias("value"), F.least("n", "u").alias(f"goal_{axis}"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, tol: float = 1e-6, max_rounds: int = 200, rounds_a_job: int = 4) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, tol: float = 1e-6, max_rounds: int = 200, rounds_a_check: int = 4) -> DataFrame:
     """cells (one row per source, language and topic; n > 0 tokens) with p <= 1, the part to take, so that the marginals of what
     is taken are the targets' share of budget, or nearest to it where a value holds less (see feasible).
 
-    Each round scales along each axis; a cell that would exceed its tokens is whole and the others make up for it. Some rounds
-    form one job; then the largest gap of a marginal is looked at (one number), until it is below tol. Marginals that
-    contradict each other end at max_rounds. Gaps that remain are told in a warning.
+    Each round scales along each axis; a cell that would exceed its tokens is whole and the others make up for it. A round is a
+    job, so plans stay small on the driver; after some of them the largest gap of a marginal is looked at (one number), until
+    it is below tol. Marginals that contradict each other end at max_rounds. Gaps that remain are told in a warning.
     """
     cells = cells.join(F.broadcast(cells.agg(F.sum("n").alias("all_n")))).withColumn("n", F.col("n") / F.col("all_n")).drop("all_n")
     for axis in AXES:
         goals = feasible(cells, axis, targets[axis], budget)
         cells = cells.join(goals, cells[axis].eqNullSafe(goals["value"])).drop("value")
     w = stored(cells.withColumn("u", F.col("n") * budget), "mix-cells")
-    for _ in range(0, max_rounds, rounds_a_job):
-        for _ in range(rounds_a_job):
+    for _ in range(0, max_rounds, rounds_a_check):
+        for _ in range(rounds_a_check):
             for axis in AXES:
                 w = _filled(w, F.col(axis), F.col(f"goal_{axis}"))
-        w = stored(w, "mix-round")
+            w = stored(w, "mix-round")
         gaps = [w.groupBy(axis).agg(F.abs(F.sum(F.least("n", "u")) - F.first(f"goal_{axis}")).alias("gap")).select("gap") for axis in AXES]
         worst = reduce(DataFrame.unionAll, gaps).agg(F.max("gap")).first()[0]
         if worst is None or worst < tol * budget:
             break
     w = w.withColumn("p", F.least(F.lit(1.0), F.col("u") / F.col("n")))
-    missed = {axis: shares(w.withColumn("taken", F.col("n") * F.col("p")), axis, targets[axis]).where(F.abs(F.col("share") - F.col("target")) > 10 * tol).count() for axis in AXES}
-    if any(missed.values()):
+    ends = reduce(DataFrame.unionAll, (shares(w.withColumn("taken", F.col("n") * F.col("p")), axis, targets[axis]).select("axis", "target", "share") for axis in AXES))
+    missed = {r["axis"]: r["count"] for r in ends.where(F.abs(F.col("share") - F.col("target")) > 10 * tol).groupBy("axis").count().collect()}
+    if missed:
         warnings.warn(f"mixing: values whose share is not the target at a budget of {budget:g}: {missed}; see gaps()", stacklevel=3)
     return w
 
