@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -46,11 +47,6 @@ def slice_utf16(text: Column, start: Column, end: Column) -> Column:
     return F.decode(F.substring(F.encode(text, "UTF-16BE"), 2 * start + 1, 2 * (end - start)), "UTF-16BE")
 
 
-def plain_terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits without stop words, for texts without CJK."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}]+)"), 1), lambda w: ~w.isin(STOP_WORDS))
-
-
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _SCRIPT = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Hangul}]+")
 
@@ -68,16 +64,43 @@ def terms_of(text: str | None) -> list[str]:
     return [x for x in out if x and x not in STOP_WORDS]
 
 
+#: For ASCII texts each character or a blank; for others, when first met, each code point or a blank, and which ones are scripts of n-grams.
+_STOP, _ASCII = frozenset(STOP_WORDS), "".join(chr(i).lower() if chr(i).isalnum() else " " for i in range(128))
+_POINTS: dict[str, np.ndarray] = {}
+
+
+def _points() -> dict[str, np.ndarray]:
+    if not _POINTS:
+        every = "".join(" " if 0xD800 <= i < 0xE000 else chr(i) for i in range(0x110000))
+        kept, script = np.full(len(every), 32, np.uint32), np.zeros(len(every), bool)
+        for m in _WORD.finditer(every):
+            kept[m.start() : m.end()] = np.arange(m.start(), m.end())
+        for m in _SCRIPT.finditer(every):
+            script[m.start() : m.end()] = True
+        _POINTS.update(kept=kept, script=script)
+    return _POINTS
+
+
+def quick_terms(text: str | None) -> list[str]:
+    """The terms of terms_of, by a table of code points instead of patterns where no run holds Han, kana or Hangul."""
+    text = text or ""
+    if text.isascii():
+        return [x for x in text.translate(_ASCII).split() if x not in _STOP]
+    low = (text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)).lower()
+    at, points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32), _points()
+    if points["script"][at].any():
+        return terms_of(text)
+    return [x for x in points["kept"][at].tobytes().decode("utf-32-le").split() if x not in _STOP]
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def general_terms(text: pd.Series) -> pd.Series:
-    return text.map(terms_of)
+    return text.map(quick_terms)
 
 
 def with_terms(df: DataFrame, text: str = "text", out: str = "terms") -> DataFrame:
-    """Adds the terms, in one scan. Texts that are plain for NFKC and hold no CJK stay in the JVM; Python gets only the others."""
-    odd = F.coalesce(F.col(text).rlike("[^\\x00-\\x7F\\xA1-\\xA7\\xA9\\xAB-\\xAE\\xB0\\xB1\\xB6\\xB7\\xBB\\xBF-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E\\u2010\\u2013-\\u2016\\u2018-\\u2023]"), F.lit(False))
-    plain = F.coalesce(plain_terms(F.col(text)), F.array().cast("array<string>"))
-    return df.withColumn(out, F.when(odd, general_terms(F.when(odd, F.col(text)))).otherwise(plain))
+    """Adds the terms, in one scan."""
+    return df.withColumn(out, general_terms(F.col(text)))
 
 
 def audit_values(text: Column, kind: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from ..functions.text import slice_utf16, terms_of, utf16_length, with_terms
+from ..functions.text import quick_terms, slice_utf16, terms_of, utf16_length
 
+#: Asked terms that are sent along with a scan; pairs of a chunk and a term in an Arrow batch.
+ASKED, STEP = 1 << 16, 1 << 16
 # Fixed values of the scoring and of its limits.
 K1, B, CHUNK, TOP_K, MAX_SCORED, MAX_TERMS = 1.2, 0.75, 1200, 8, 10_000, 256
 #: White space of the chunk contract, and the two kinds of break.
@@ -85,15 +88,52 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), "text")
 
 
+def term_counts(chunks: DataFrame, asked: frozenset[str] | None = None) -> DataFrame:
+    """(chunk_id, doc_id, len, hits): of each chunk its number of terms and how often it holds each one, or each of the asked
+    ones. One pass over the texts without a shuffle; nothing but counts leaves Python."""
+    import pyarrow as pa
+
+    pair = pa.struct([("term", pa.string()), ("tf", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                names, tfs, lens, ends = [], [], [], [0]
+                for text in batch["text"][at:]:
+                    terms = quick_terms(text.as_py())
+                    lens.append(len(terms))
+                    found = Counter(terms if asked is None else [x for x in terms if x in asked])
+                    names += found.keys()
+                    tfs += found.values()
+                    ends.append(len(names))
+                    if len(names) >= STEP:
+                        break
+                hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(tfs, pa.int64())], fields=list(pair)))
+                yield pa.RecordBatch.from_arrays([batch["chunk_id"][at : at + len(lens)], batch["doc_id"][at : at + len(lens)], pa.array(lens, pa.int32()), hits], ["chunk_id", "doc_id", "len", "hits"])
+                at += len(lens)
+
+    return chunks.select("chunk_id", "doc_id", "text").mapInArrow(run, "chunk_id string, doc_id string, len int, hits array<struct<term: string, tf: bigint>>")
+
+
+def exploded(counts: DataFrame) -> DataFrame:
+    """(term, chunk_id, doc_id, len, tf) of counts."""
+    return counts.select("chunk_id", "doc_id", "len", F.explode("hits").alias("x")).select("x.term", "chunk_id", "doc_id", "len", "x.tf")
+
+
+def merged(hits: DataFrame) -> DataFrame:
+    """Hits of rows with one id and length as one."""
+    return hits.groupBy("term", "chunk_id", "doc_id", "len").agg(F.sum("tf").alias("tf"))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, doc_id, tf, len): counts are combined before the shuffle."""
-    split = with_terms(chunks).select("chunk_id", "doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-    return split.groupBy("term", "chunk_id", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    return merged(exploded(term_counts(chunks)))
 
 
 def index_stats(chunks: DataFrame) -> DataFrame:
     """One row: n chunks and their mean length in terms, which counts repeats."""
-    return with_terms(chunks).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avg_len"))
+    return term_counts(chunks, frozenset()).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
 
 
 def query_terms(spark, questions: dict[str, str]) -> DataFrame:
@@ -113,18 +153,31 @@ def contribution(tf: Column, df: Column, length: Column, n: Column, avg_len: Col
     return idf * tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * length / mean))
 
 
+def asked_hits(chunks: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Occurrences (term, chunk_id, doc_id, len, tf) of asked terms, the number of chunks of each term, and the statistics of all
+    chunks: texts are read once, and of each chunk its length and the asked terms in it are stored. More terms than ASKED are
+    joined instead of sent along."""
+    frequency = lambda hits: hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = [r["term"] for r in terms.select("term").distinct().limit(ASKED + 1).collect()]
+    if len(asked) > ASKED:
+        hits = exploded(term_counts(chunks)).join(terms.select("term").distinct(), "term")
+        hits = stored(merged(hits), "hits")
+        return hits, frequency(hits), index_stats(chunks)
+    counts = stored(term_counts(chunks, frozenset(asked)), "counts")
+    hits = exploded(counts)
+    if not counts.groupBy("chunk_id", "doc_id", "len").count().where("count > 1").isEmpty():
+        hits = merged(hits)
+    return hits, F.broadcast(frequency(hits)), counts.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+
+
 def matches(chunks: DataFrame, terms: DataFrame, restrict: DataFrame | None = None, max_scored: int | None = None) -> DataFrame:
     """(query_id, chunk_id, doc_id, term, part): contributions of matched terms.
 
     Only occurrences of asked terms leave the scan. Counts of chunks for each term are over all chunks, whatever the
     restriction. With max_scored, terms are taken by rising frequency and chunks in order until so many chunks are admitted.
     """
-    split = with_terms(chunks)
-    stats = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avg_len"))
-    asked = terms.select("term").distinct()
-    hits = split.select("chunk_id", "doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(asked, "term")
-    hits = stored(hits.groupBy("term", "chunk_id", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf")), "hits")  # texts are read once for them
-    counted = hits.join(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").join(F.broadcast(stats))
+    hits, frequency, stats = asked_hits(chunks, terms)
+    counted = hits.join(frequency, "term").join(F.broadcast(stats))
     if restrict is not None:
         counted = counted.join(restrict.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "doc_id", "left_semi")
     found = counted.join(terms, "term")
@@ -212,6 +265,19 @@ def supported_answers(claims: DataFrame, cited: DataFrame) -> DataFrame:
     return joined.groupBy("claim_id").agg(F.coalesce(F.bool_and(F.contains("chunk_text", "text")), F.lit(False)).alias("supported"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A table marked for broadcasting if it has at most ASKED rows."""
+    return F.broadcast(df) if df.limit(ASKED + 1).count() <= ASKED else df
+
+
 def attach_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with their chunk's text; hits are the small side."""
-    return chunks.select("chunk_id", "text").join(hits, "chunk_id")
+    """Hits with their chunk's text; hits are the small side, and up to ASKED of them go to the texts."""
+    return chunks.select("chunk_id", "text").join(_small(stored(hits, "hits")), "chunk_id")
+
+
+def attach_chunks(hits: DataFrame, docs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Hits in chunks of documents with their chunk's text: only documents that hold one are cut again."""
+    hits = stored(hits, "hits")
+    asked = _small(hits.select(F.col("doc_id").alias("asked_id")).distinct())
+    found = docs.join(asked, F.col("doc_id").cast("string").eqNullSafe(F.col("asked_id")), "left_semi")
+    return attach_text(hits, chunk_documents(found, size))

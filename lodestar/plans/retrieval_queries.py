@@ -112,8 +112,8 @@ def chunks_boundary(spark, sf_dir):
 
 @query()
 def chunked_search(spark, sf_dir):
-    chunks = I.chunk_documents(table(spark, sf_dir, "documents"))
-    return I.attach_text(I.search(chunks, I.query_terms(spark, QUESTIONS)), chunks)
+    docs = table(spark, sf_dir, "documents")
+    return I.attach_chunks(I.search(I.chunk_documents(docs), I.query_terms(spark, QUESTIONS)), docs)
 
 
 @query("""SELECT doc_id, CAST(instr(text, 'tion of') - 1 AS INT) AS start, CAST(instr(text, 'tion of') + 6 AS INT) AS "end", 'tion of' AS quote FROM documents WHERE instr(text, 'tion of') > 0""")
@@ -154,8 +154,8 @@ def exact_duplicate_groups(spark, sf_dir):
 
 @query()
 def context_packing(spark, sf_dir):
-    chunks = I.chunk_documents(table(spark, sf_dir, "documents"))
-    hits = I.attach_text(I.search(chunks, I.query_terms(spark, QUESTIONS), k=20), chunks)
+    docs = table(spark, sf_dir, "documents")
+    hits = I.attach_chunks(I.search(I.chunk_documents(docs), I.query_terms(spark, QUESTIONS), k=20), docs)
     return I.pack_context(hits.withColumn("tokens", F.ceil(F.length("text") / 4).cast("int")), 1500)
 
 

@@ -334,3 +334,51 @@ def test_audit_of_values_that_differ_by_any_length(spark):
     quotes = spark.createDataFrame([(p[0], p[2]) for p in pairs], "claim_id string, quote string")
     got = {r["claim_id"]: (r["status"], r["numbers"]) for r in evidence.audit_claims(claims, quotes).collect()}
     assert got == {k: ("contradicted", "conflict") for k in ("repeated", "marks", "spaces")} | {"other": ("unknown", "unresolved")}
+
+
+def test_quick_terms_are_the_terms():
+    rng = random.Random(6)
+    parts = ["The ", "x1_y", "-", "İx", "ẞ", "ΑΣ ", "ﬁ", "１２", "é", "é", "銀河", "데이터", "ー", "🌳", " ", "\x1c", "²", "½", "Ⅳ", "ª", "'s ", "a ", "who "]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert T.quick_terms(text) == T.terms_of(text)
+    every = [" ".join(chr(c) for c in range(i, i + 256) if not 0xD800 <= c < 0xE000) for i in range(0, 0x110000, 256)]
+    assert all(T.quick_terms(x) == T.terms_of(x) for x in every) and T.quick_terms(None) == []
+
+
+def _counting(spark, docs):
+    """Documents that count how often a text is made."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(t):
+        made.add(1)
+        return t
+
+    return docs.select("doc_id", text("text").alias("text")), made
+
+
+def test_a_search_makes_each_text_once(spark):
+    rows = [(f"d{i:02}", f"Common term{i % 3} oak. Oak again") for i in range(30)]
+    docs, made = _counting(spark, spark.createDataFrame(rows, "doc_id string, text string"))
+    hits = index.search(index.chunk_table(docs), index.query_terms(spark, {"q": "oak term1"}), 40).collect()
+    assert len(hits) == 30 and hits[0]["doc_id"] == "d01" and made.value == 30
+    docs, made = _counting(spark, spark.createDataFrame(rows, "doc_id string, text string"))
+    cover = index.coverage(index.chunk_table(docs.withColumn("text", F.col("text"))), index.query_terms(spark, {"q": "oak term1 none"})).first()
+    assert (cover["chunks"], cover["scored"], cover["matched"]) == (30, 30, "oak term1") and made.value == 30
+
+
+def test_a_search_of_more_terms_than_are_sent_is_the_same(spark, monkeypatch):
+    rows = [("a", "oak oak elm"), ("a", "fir oak elm"), ("b", "oak"), ("c", None), (None, "elm")]
+    docs, terms = index.chunk_table(spark.createDataFrame(rows, "doc_id string, text string")), index.query_terms(spark, {"q": "oak elm", "r": "fir"})
+    want = sorted(map(str, index.search(docs, terms).collect()))
+    monkeypatch.setattr(index, "ASKED", 1)
+    assert sorted(map(str, index.search(docs, terms).collect())) == want and any("chunk_id='a', doc_id='a'" in x for x in want)
+
+
+def test_only_found_documents_are_cut_again(spark):
+    rows = [("a", "x" * 1300 + " oak."), (None, "oak here"), ("b", "elm"), ("c", "ash")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    hits = index.search(index.chunk_documents(docs), index.query_terms(spark, {"q": "oak"}))
+    want = {(r["chunk_id"], r["text"]) for r in index.chunk_documents(docs).collect() if "oak" in r["text"]}
+    assert {(r["chunk_id"], r["text"]) for r in index.attach_chunks(hits, docs).collect()} == want and len(want) == 2
