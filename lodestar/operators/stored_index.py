@@ -7,11 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import with_terms
-from .index import TOP_K, chunk_table, contribution, top_hits
+from ..storage import stored
+from .index import TOP_K, chunk_table, contribution, exploded, term_counts, top_hits
 
 #: Buckets of terms, each a folder of its own: a search reads those of its terms only. Buckets of document hashes in the identity.
 BUCKETS, ID_BUCKETS, FORMAT = 64, 4096, 1
+#: So many ids that go are sent along as hashes, and so many asked terms are put into the filter of a scan; more are joined.
+MANY_GONE, MANY_TERMS = 1 << 20, 1 << 12
 
 
 @dataclass(frozen=True)
@@ -32,9 +34,7 @@ def _bucket(term):
 
 def _parts(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lengths and postings of chunks (doc_id, chunk_id, text)."""
-    split = with_terms(chunks).select("chunk_id", "doc_id", F.size("terms").alias("len"), "terms")
-    post = split.select("chunk_id", "doc_id", "len", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    return split.select("chunk_id", "doc_id", "len"), post
+    return term_counts(chunks, frozenset()).select("chunk_id", "doc_id", "len"), exploded(term_counts(chunks))
 
 
 def index_identity(documents: DataFrame) -> str:
@@ -45,10 +45,10 @@ def index_identity(documents: DataFrame) -> str:
     return per.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", F.format_string("%05d", "b"), "h"))), ""), 256).alias("id")).first()["id"]
 
 
-def _write(spark: SparkSession, documents: DataFrame, lengths: DataFrame, postings: DataFrame, path: str) -> StoredIndex:
-    documents.select("doc_id", "text", "version_id").write.parquet(f"{path}/documents")
+def _write(spark: SparkSession, lengths: DataFrame, postings: DataFrame, path: str) -> StoredIndex:
+    """The other tables beside the documents. Each task writes the postings of its own texts into all buckets, without a shuffle."""
     lengths.write.parquet(f"{path}/lengths")
-    postings.withColumn("bucket", _bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    postings.withColumn("bucket", _bucket("term")).sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
     found = StoredIndex(spark, path)
     total = found.read("lengths").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"))
     total.select(F.lit(FORMAT).alias("format"), "n", "total", F.lit(index_identity(found.read("documents"))).alias("index_id")).coalesce(1).write.parquet(f"{path}/meta")
@@ -60,16 +60,18 @@ def build_index(docs: DataFrame, path: str) -> StoredIndex:
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         raise ValueError("document ids must be set and unique")
-    lengths, postings = _parts(chunk_table(docs))
-    return _write(docs.sparkSession, docs.withColumn("version_id", F.sha2("text", 256)), lengths, postings, path)
+    docs.withColumn("version_id", F.sha2("text", 256)).write.parquet(f"{path}/documents")
+    return _write(docs.sparkSession, *_parts(chunk_table(StoredIndex(docs.sparkSession, path).read("documents"))), path)
 
 
 def search_index(index: StoredIndex, terms: DataFrame, k: int = TOP_K) -> DataFrame:
     """(query_id, chunk_id, doc_id, score, rank) for terms (query_id, term): reads the buckets of the asked terms; no text is read."""
     asked = [r["term"] for r in terms.select("term").distinct().collect()]  # bounded by the limit on a question's terms
     buckets = [r["b"] for r in index.spark.createDataFrame([(t,) for t in asked], "term string").select(_bucket("term").alias("b")).distinct().collect()]
-    hits = index.read("postings").where(F.col("bucket").isin(buckets)).join(F.broadcast(terms), "term")
-    df = hits.select("term", "chunk_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    post = index.read("postings").where(F.col("bucket").isin(buckets))
+    post = post.where(F.col("term").isin(asked)) if len(asked) <= MANY_TERMS else post.join(F.broadcast(terms.select("term").distinct()), "term")
+    df = F.broadcast(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # a chunk has one posting of a term
+    hits = post.join(F.broadcast(terms), "term")
     meta = index.read("meta").select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avg_len"))
     part = contribution(F.col("tf"), F.col("df"), F.col("len"), F.col("n"), F.col("avg_len"))
     scored = hits.join(df, "term").join(F.broadcast(meta)).groupBy("query_id", "chunk_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
@@ -82,11 +84,19 @@ def update_index(index: StoredIndex, changed: DataFrame, removed: DataFrame, pat
     changed = changed.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     if not changed.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         raise ValueError("changed ids must be set and unique")
-    gone = changed.select("doc_id").unionAll(removed.select(F.col("doc_id").cast("string"))).distinct()
-    kept = lambda name: index.read(name).join(gone, "doc_id", "left_anti")
+    changed = stored(changed, "index-changed")
+    gone = stored(changed.select("doc_id").unionAll(removed.select(F.col("doc_id").cast("string"))).distinct(), "index-gone")
+    hashes = gone.select(F.xxhash64("doc_id").alias("gone")).distinct()
+    hashes = F.broadcast(hashes) if gone.count() <= MANY_GONE else hashes
+    exact = lambda df: df.join(gone, "doc_id", "left_anti")
+    by_hash = lambda df, how: df.join(hashes, F.xxhash64("doc_id") == F.col("gone"), how)
+    # An id that stays may share its hash with one that goes: then ids are compared as they are.
+    clear = by_hash(exact(index.read("lengths").select("doc_id")), "left_semi").isEmpty()
+    kept = lambda name: by_hash(index.read(name), "left_anti") if clear else exact(index.read(name))
     lengths, postings = _parts(chunk_table(changed))
     documents = kept("documents").unionByName(changed.withColumn("version_id", F.sha2("text", 256)))
-    return _write(index.spark, documents, kept("lengths").unionByName(lengths), kept("postings").drop("bucket").unionByName(postings), path)
+    documents.select("doc_id", "text", "version_id").write.parquet(f"{path}/documents")
+    return _write(index.spark, kept("lengths").unionByName(lengths), kept("postings").drop("bucket").unionByName(postings), path)
 
 
 def export_index(index: StoredIndex, path: str) -> None:

@@ -382,3 +382,49 @@ def test_only_found_documents_are_cut_again(spark):
     hits = index.search(index.chunk_documents(docs), index.query_terms(spark, {"q": "oak"}))
     want = {(r["chunk_id"], r["text"]) for r in index.chunk_documents(docs).collect() if "oak" in r["text"]}
     assert {(r["chunk_id"], r["text"]) for r in index.attach_chunks(hits, docs).collect()} == want and len(want) == 2
+
+
+def test_a_kept_index_splits_into_all_buckets_without_a_shuffle(spark, tmp_path, monkeypatch):
+    from lodestar.operators import stored_index as S
+
+    docs = {f"d{i}": f"oak term{i} elm{i % 4}" for i in range(40)} | {"empty": "", "none": None}
+    df = lambda d: spark.createDataFrame(list(d.items()), "doc_id string, text string")
+    made = S.build_index(df(docs).repartition(3), f"{tmp_path}/a")
+    assert max(len(list(d.glob("*.parquet"))) for d in (tmp_path / "a/postings").glob("bucket=*")) == 3  # each task wrote its own
+    changed, gone = {"d3": "oak new", "d41": "fir"}, ["d5", "empty"]
+    after = {k: v for k, v in (docs | changed).items() if k not in gone}
+    rows = lambda x, n: sorted(map(str, x.read(n).select(*sorted(x.read(n).columns)).collect()))
+    fresh = S.build_index(df(after), f"{tmp_path}/b")
+    for name, many in (("c", S.MANY_GONE), ("d", 0)):
+        monkeypatch.setattr(S, "MANY_GONE", many)
+        new = S.update_index(made, df(changed), spark.createDataFrame([(x,) for x in gone], "doc_id string"), f"{tmp_path}/{name}")
+        assert all(rows(new, n) == rows(fresh, n) for n in ("documents", "lengths", "postings", "meta"))
+    hits = S.search_index(fresh, index.query_terms(spark, {"q": "oak fir"}), 50).select("chunk_id", "score", "rank").collect()
+    assert hits == index.search(index.chunk_table(df(after)), index.query_terms(spark, {"q": "oak fir"}), 50).select("chunk_id", "score", "rank").collect()
+
+
+def test_page_records_leave_in_steps():
+    import pandas as pd
+
+    pages = pd.DataFrame({"page_id": range(150), "url": "http://x/", "html": "<title>a&amp</title><p>b</p>"})
+    steps = list(html.page_steps(iter([pages])))
+    assert [len(s) for s in steps] == [64, 64, 22] and steps[0]["title"][0] == "a&" and steps[0]["title_source"][0] == "a&amp"
+    pages["html"] = "<p>" + "x" * 1_500_000
+    assert max(len(s) for s in html.page_steps(iter([pages[:7]]))) == 3
+
+
+def test_page_title_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from lodestar.plans import catalog
+
+    rows = [(1, "u", "<html><title>a &amp;amp; b &lt;c&amp</title>"), (2, "u", "<p>none"), (3, "u", "<title>  two  blanks\n&copy; &#39;&quot;&gt; </title><title>x</title>"), (4, "u", "<title></title>"), (5, "u", "<title>a <b>c</b></title>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = duckdb.connect().sql(catalog.ORACLE["page_title"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["page_title"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_the_flagship_parses_pages_once(spark, sf):
+    from lodestar.plans import catalog
+
+    assert "MapInPandas" not in catalog.flagship(spark, sf)._jdf.queryExecution().toString()
