@@ -172,6 +172,7 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
     got = read_archives(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("n"), "payload_digest", "record_type", "refers_to", "archive")
+    got = stored(got, "warc-records")  # so that the archives are read and held against their digests once
     whole = got.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("n").alias("full"))
     whole = whole.where(F.col("full") >= REVISIT_BYTES)
     full = F.when(F.col("record_type") == "revisit", F.col("full")).otherwise(F.col("n"))

@@ -190,3 +190,10 @@ def test_raking_tells_of_targets_beyond_what_is_held(spark):
         got = mixing.mix_sources(df, targets)
     share = {r["value"]: r["share"] for r in mixing.gaps(got, targets).where("axis = 'source'").collect()}
     assert share == pytest.approx({"big": 0.49, "mid": 0.49, "rare": 0.02}, abs=1e-5)
+
+
+def test_archives_are_read_once(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 1500), (2, "u", "x" * 1500), (3, "u", "y")], "page_id long, url string, html string")
+    got = warc.warc_round_trip(pages)
+    assert "binaryFile" not in got._jdf.queryExecution().toString()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got.collect()) == [(1, 1500, "revisit", 2), (2, 1500, "response", None), (3, 1, "response", None)]
