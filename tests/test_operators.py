@@ -428,3 +428,16 @@ def test_the_flagship_parses_pages_once(spark, sf):
     from lodestar.plans import catalog
 
     assert "MapInPandas" not in catalog.flagship(spark, sf)._jdf.queryExecution().toString()
+
+
+def test_paragraphs_are_the_lines_and_made_once(spark):
+    rng = random.Random(9)
+    text = lambda: "".join(rng.choice(("a", "b.", " ", "\t", "\n", "\r\n", "\n\n", " ", "　", " ", "\x0b", "🌳")) for _ in range(rng.randint(0, 30)))
+    rows = [(i, text()) for i in range(400)] + [(400, None), (401, ""), (402, " \n\n ")]
+    got = evidence.paragraphs_of_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = []
+    for i, t in rows:
+        lines = [re.sub("[ \t\n\x0b\f\r  　]+", " ", x).strip(" ") for x in (t or "").split("\n")]
+        want += [(i, n + 1, f"p{n + 1}", x) for n, x in enumerate(x for x in lines if x)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
