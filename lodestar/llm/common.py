@@ -17,6 +17,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 STEP_BYTES = 1 << 20
 #: The setting that removes the shuffle files of a query at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of up to some 100 bytes that steps which are repeated many times keep in one partition.
+FEW_ROWS = 20_000
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -35,6 +37,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(df: DataFrame, few: bool) -> DataFrame:
+    """Few rows as one partition: aggregates, windows and merge joins of such tables need no exchange, so a step is one task,
+    and the driver has no stages to plan anew, no broadcasts to build and no threads that wait for them."""
+    return df.coalesce(1) if few else df
+
+
+def merging(df: DataFrame, few: bool) -> DataFrame:
+    """A side of a join of few rows, which would else be broadcast."""
+    return df.hint("merge") if few else df
+
+
 def split_of(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5: 0 marks the held-out documents."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))

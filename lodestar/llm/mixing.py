@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import FEW_ROWS, merging, stored, together
 
 #: The marginals that are raked, in this order.
 AXES = ("source", "lang", "topic")
@@ -34,8 +34,7 @@ def topic_of(text: Column, n_tokens: Column) -> Column:
 def tempered(cells: DataFrame, axis: str, temperature: float) -> DataFrame:
     """Default targets of an axis: its token shares to a power below 1, which lifts what is rare; they sum to 1."""
     share = cells.groupBy(axis).agg(F.sum("n").alias("n")).withColumn("t", F.pow("n", F.lit(temperature)))
-    total = share.agg(F.sum("t").alias("total"))
-    return share.join(F.broadcast(total)).select(axis, (F.col("t") / F.col("total")).alias("target"))
+    return share.select(axis, (F.col("t") / F.sum("t").over(Window.partitionBy(F.lit(0)))).alias("target"))
 
 
 def _filled(rows: DataFrame, by: Column, total: Column) -> DataFrame:
@@ -59,24 +58,25 @@ def feasible(cells: DataFrame, axis: str, targets: DataFrame, budget: float) ->
     return _filled(rows, F.lit(0), F.lit(budget)).select(F.col(axis).alias("value"), F.least("n", "u").alias(f"goal_{axis}"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, tol: float = 1e-6, max_rounds: int = 200, rounds_a_check: int = 4) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, tol: float = 1e-6, max_rounds: int = 200, rounds_a_check: int = 4, few: bool = False) -> DataFrame:
     """cells (one row per source, language and topic; n > 0 tokens) with p <= 1, the part to take, so that the marginals of what
     is taken are the targets' share of budget, or nearest to it where a value holds less (see feasible).
 
     Each round scales along each axis; a cell that would exceed its tokens is whole and the others make up for it. A round is a
     job, so plans stay small on the driver; after some of them the largest gap of a marginal is looked at (one number), until
-    it is below tol. Marginals that contradict each other end at max_rounds. Gaps that remain are told in a warning.
+    it is below tol. Marginals that contradict each other end at max_rounds. Gaps that remain are told in a warning. With few
+    the cells stay in one partition, and a round is one task.
     """
-    cells = cells.join(F.broadcast(cells.agg(F.sum("n").alias("all_n")))).withColumn("n", F.col("n") / F.col("all_n")).drop("all_n")
-    for axis in AXES:
-        goals = feasible(cells, axis, targets[axis], budget)
-        cells = cells.join(goals, cells[axis].eqNullSafe(goals["value"])).drop("value")
-    w = stored(cells.withColumn("u", F.col("n") * budget), "mix-cells")
+    cells, targets = together(cells, few), {axis: merging(together(targets[axis], few), few) for axis in AXES}
+    w = cells.withColumn("n", F.col("n") / F.lit(cells.agg(F.sum("n")).first()[0]).cast("double")).withColumn("u", F.col("n") * budget)
+    for axis in AXES:  # stored each time: an axis reads the cells twice, so that three in one plan would read them eight times
+        goals = together(feasible(w, axis, targets[axis], budget), few)
+        w = together(stored(w.join(merging(goals, few), w[axis].eqNullSafe(goals["value"])).drop("value"), "mix-cells"), few)
     for _ in range(0, max_rounds, rounds_a_check):
         for _ in range(rounds_a_check):
             for axis in AXES:
                 w = _filled(w, F.col(axis), F.col(f"goal_{axis}"))
-            w = stored(w, "mix-round")
+            w = together(stored(w, "mix-round"), few)
         gaps = [w.groupBy(axis).agg(F.abs(F.sum(F.least("n", "u")) - F.first(f"goal_{axis}")).alias("gap")).select("gap") for axis in AXES]
         worst = reduce(DataFrame.unionAll, gaps).agg(F.max("gap")).first()[0]
         if worst is None or worst < tol * budget:
@@ -93,9 +93,8 @@ def shares(taken: DataFrame, axis: str, targets: DataFrame) -> DataFrame:
     """(axis, value, target, share) of expected tokens taken; targets are scaled to sum to 1."""
     got = taken.groupBy(F.col(axis).alias("got")).agg(F.sum("taken").alias("taken"))
     both = targets.join(got, F.col(axis).eqNullSafe(F.col("got")), "full")
-    sums = both.agg(F.sum("target").alias("all_target"), F.sum("taken").alias("all_taken"))
-    part = lambda c: F.coalesce(F.try_divide(c, f"all_{c}"), F.lit(0.0)).cast("double").alias("share" if c == "taken" else c)
-    return both.join(F.broadcast(sums)).select(F.lit(axis).alias("axis"), F.coalesce(axis, "got").alias("value"), part("target"), part("taken"))
+    part = lambda c: F.coalesce(F.try_divide(c, F.sum(c).over(Window.partitionBy(F.lit(0)))), F.lit(0.0)).cast("double").alias("share" if c == "taken" else c)
+    return both.select(F.lit(axis).alias("axis"), F.coalesce(axis, "got").alias("value"), part("target"), part("taken"))
 
 
 def gaps(mixed: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = 0.7) -> DataFrame:
@@ -118,8 +117,9 @@ def mix_sources(docs: DataFrame, targets: dict[str, DataFrame] | None = None, bu
     base = docs.select("doc_id", "source", "lang", words.alias("n_tokens"), (F.col(topic) if topic else topic_of(F.col("text"), words)).alias("topic"))
     base = stored(base, "mix-docs")
     cells = stored(base.where("n_tokens > 0").groupBy(*AXES).agg(F.sum("n_tokens").alias("n")), "mix-sums")
-    targets = targets or {axis: tempered(cells, axis, temperature) for axis in AXES}
-    odds = rake(cells, targets, budget).select(*(F.col(a).alias(f"cell_{a}") for a in AXES), "p")
+    few = cells.count() <= FEW_ROWS
+    targets = targets or {axis: tempered(together(cells, few), axis, temperature) for axis in AXES}
+    odds = rake(cells, targets, budget, few=few).select(*(F.col(a).alias(f"cell_{a}") for a in AXES), "p")
     same = reduce(Column.__and__, (F.col(a).eqNullSafe(F.col(f"cell_{a}")) for a in AXES))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     chance = F.when(F.col("n_tokens") > 0, F.coalesce("p", F.lit(0.0))).otherwise(0.0)

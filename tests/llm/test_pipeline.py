@@ -5,6 +5,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from lodestar.llm import components as components_of
 from lodestar.llm import langid, mixing
 from lodestar.llm.common import stored
 from lodestar.llm.queries import tokenizer_path
@@ -81,3 +82,30 @@ def test_pipeline_of_an_empty_table(spark, sf):
 def test_entry_lists_the_eleven_queries():
     names = importlib.import_module("__spark_entry__").queries()
     assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+
+
+def test_repeated_steps_on_few_rows_have_no_exchange_and_give_the_same(spark, sf, monkeypatch):
+    """Each stage that the driver plans costs it memory, so plans of repeated steps are to be small."""
+    plans = []
+
+    def noted(df, tag):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(df, tag)
+
+    for module in (mixing, components_of):
+        monkeypatch.setattr(module, "stored", noted)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    edges = spark.createDataFrame([(i, i // 2) for i in range(2, 60)] + [(70, 71)], "a long, b long")
+
+    def both():
+        mixed = {(r["doc_id"], r["selected"], round(r["probability"], 9)) for r in mixing.mix_sources(docs).collect()}
+        return mixed, {tuple(r) for r in components_of.connected_components(edges).collect()}
+
+    few = both()
+    repeated = [plan for tag, plan in plans if tag in ("mix-round", "cc-round")]
+    assert len(repeated) > 2 and not any("Exchange" in plan for plan in repeated)
+    assert max(plan.count("Join") for tag, plan in plans if tag == "mix-cells") <= 4
+    for module in (mixing, components_of):
+        monkeypatch.setattr(module, "FEW_ROWS", 0)
+    plans.clear()
+    assert both() == few and any("Exchange" in plan for tag, plan in plans if tag == "mix-round")
