@@ -22,11 +22,14 @@ _W = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 UNITS = "kg|mg|g|km|cm|mm|m|ms|s|hours?|minutes?|seconds?|days?|USD|EUR|JPY|kilograms?|kilomet(?:er|re)s?|met(?:er|re)s?"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 NEGATIONS = "not|never|no|without|cannot|can't|doesn't|didn't|isn't|wasn't"
+# Groups that repeat keep what they took: Java comes back to each round of others by recursion, and overflows on long runs. An
+# entity's further words are looked at ahead, as one before an underscore has no boundary.
+_NAME = "[A-Z][\\p{L}\\p{N}]*"
 AUDIT = {
-    "numbers": "[+-]?[0-9]+(?:[,.][0-9]+)*(?:%|％)?",
+    "numbers": "[+-]?[0-9]++(?:[,.][0-9]++)*+(?:%|％)?",
     "units": f"(?i){_L}(?:{UNITS}){_R}|°[CF]|公斤|公里|公尺|毫秒|小時|分鐘|美元|元|%|％",
     "dates": f"(?i){_L}[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}{_R}|{_L}(?:{MONTHS})\\s+[0-9]{{1,2}}(?:,?\\s+[0-9]{{4}})?{_R}|[0-9]{{4}}年[0-9]{{1,2}}月[0-9]{{1,2}}日",
-    "entities": f"{_L}[A-Z][\\p{{L}}\\p{{N}}]*(?:\\s+[A-Z][\\p{{L}}\\p{{N}}]*)*{_W}",
+    "entities": f"{_L}(?:{_NAME}+\\s++(?={_NAME}{_W}))*+{_NAME}{_W}",
     "negation": f"(?i){_L}(?:{NEGATIONS}){_R}|並非|不是|沒有|未曾|不會|不",
     "ranges": "(?i)(?<![0-9])[0-9]+(?:\\.[0-9]+)?\\s*(?:[-–—]|to|至|到)\\s*[0-9]+(?:\\.[0-9]+)?",
 }
@@ -108,11 +111,18 @@ def audit_values(text: Column, kind: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({AUDIT[kind]})"), 1))
 
 
+_BESIDE = f"[^{SPACE[1:-1]},;:()\".!?。！？]"  # next to anything else a pattern may begin or end
+_UNTOUCHED = f"(?<!{_BESIDE})(?!(?i:{UNITS}|{MONTHS}|{NEGATIONS}|to)(?!{_BESIDE}))([a-z]+)(?!{_BESIDE})"
+
+
 def untouched_words(text: Column) -> Column:
     """Words in lower-case ASCII that no audit pattern can match a part of: texts alike but for a kind's values have the same."""
-    beside = f"[^{SPACE[1:-1]},;:()\".!?。！？]"  # next to anything else a pattern may begin or end
-    words = F.regexp_extract_all(text, F.lit(f"(?<!{beside})([a-z]+)(?!{beside})"), 1)
-    return F.filter(words, lambda w: ~w.rlike(f"^(?i:{UNITS}|{MONTHS}|{NEGATIONS}|to)$"))
+    return F.regexp_extract_all(text, F.lit(_UNTOUCHED), 1)
+
+
+def untouched_ends(text: Column) -> list[Column]:
+    """The first and the last of a text's untouched words, or empty: found without a look at what stands between."""
+    return [F.regexp_extract(text, _UNTOUCHED, 1), F.regexp_extract(text, f"(?s)^.*{_UNTOUCHED}", 1)]
 
 
 #: Negations that may stand inside a word, so that words on both sides meet where they are taken out.
@@ -121,7 +131,7 @@ JOINING = "[並不沒未]"
 
 def sentence_key(text: Column) -> Column:
     """A sentence for comparison: white space collapsed, end marks off."""
-    return F.regexp_replace(normalize(text), "[.!?。！？]+$", "")
+    return F.regexp_replace(normalize(text), "(?<![.!?。！？])[.!?。！？]++$", "")
 
 
 def markdown_text(text: Column) -> Column:

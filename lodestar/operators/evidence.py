@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.canonical import canonical_struct
-from ..functions.text import AUDIT, JOINING, SPACE, audit_values, markdown_text, normalize, sentence_key, slice_utf16, untouched_words, utf16_length
+from ..functions.text import AUDIT, JOINING, SPACE, audit_values, markdown_text, normalize, sentence_key, slice_utf16, untouched_ends, untouched_words, utf16_length
 
 #: Joins the paragraphs of a page when it becomes a document.
 SEPARATOR = "\n\n"
@@ -87,12 +87,21 @@ def span_breaks(claims: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.withColumn("reason", reason).where("reason is not null").select("target", "reason")
 
 
-_END = re.compile(r"[^.!?。！？]*[.!?。！？]+(?:[\"'”’)\]]*)(?:\s+|$)|[^.!?。！？]+$", re.S)
+_MARKS = re.compile(r"([.!?。！？]+)[\"'”’)\]]*(\s+|$)?")
 
 
 def split_sentences(text: str | None) -> list[str]:
-    """Sentences with their end marks; a rule of our own that holds for any language with these marks."""
-    return [s.strip() for s in _END.findall(text or "") if s.strip()]
+    """Sentences with their end marks; a rule of our own that holds for any language with these marks. What ends at marks without
+    white space behind them is not a sentence. One pass, whatever stands between the marks."""
+    text, out, at = text or "", [], 0
+    for m in _MARKS.finditer(text):
+        if m[2] is None:
+            at = m.end(1)
+        else:
+            out.append(text[at : m.end()])
+            at = m.end()
+    out.append(text[at:])
+    return [s.strip() for s in out if s.strip()]
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -125,11 +134,14 @@ def audit_claims(claims: DataFrame, quotes: DataFrame) -> DataFrame:
     touch differ from the claim's can't conflict and are passed over before the patterns are tried.
     """
     hit = F.coalesce((F.length("claim") > 0) & F.contains(F.col("quote"), F.col("claim")), F.lit(False))
-    known = claims.withColumn("words", untouched_words(F.col("claim"))).withColumn("joins", F.col("claim").rlike(JOINING))
+    first, last = untouched_ends(F.col("claim"))
+    known = claims.select("*", first.alias("first"), last.alias("last"), untouched_words(F.col("claim")).alias("words"), F.col("claim").rlike(JOINING).alias("joins"))
     joined = known.join(quotes, "claim_id", "left").withColumn("hit", hit)
     held = joined.groupBy("claim_id", "claim").agg(F.bool_or("hit").alias("exact"))
-    sought = joined.where(~F.col("hit")).withColumn("candidate", F.explode(F.array_distinct(F.concat(F.array("quote"), F.coalesce(sentences("quote"), F.array().cast("array<string>"))))))
-    like = (F.col("words") == untouched_words(F.col("candidate"))) | F.col("joins") | F.col("candidate").rlike(JOINING)  # no conflict is lost
+    sought = joined.where(~F.col("hit")).withColumn("candidate", F.explode_outer(F.array_distinct(F.concat(F.array("quote"), F.coalesce(sentences("quote"), F.array().cast("array<string>"))))))
+    first, last = untouched_ends(F.col("candidate"))  # most candidates differ there, and are cut into words no further
+    same = (F.col("first") == first) & (F.col("last") == last) & (F.col("words") == untouched_words(F.col("candidate")))
+    like = same | F.col("joins") | F.col("candidate").rlike(JOINING)  # no conflict is lost
     flags = [F.bool_or(F.coalesce(c, F.lit(False))).alias(f"x_{k}") for k, c in audit_pair(F.col("claim"), F.col("candidate")).items()]
     found = sought.where(like).groupBy("claim_id").agg(*flags)
     none = [F.coalesce(f"x_{k}", F.lit(False)).alias(f"x_{k}") for k in AUDIT]

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -336,6 +337,31 @@ def test_audit_of_values_that_differ_by_any_length(spark):
     assert got == {k: ("contradicted", "conflict") for k in ("repeated", "marks", "spaces")} | {"other": ("unknown", "unresolved")}
 
 
+def test_audit_of_runs_of_any_length_is_one_pass(spark):
+    units = [("entities", "La "), ("entities", "Teieö  "), ("entities", "Thor_x "), ("numbers", "1,"), ("negation", "not "), ("dates", "May 1 "), ("ranges", "1 - 2 ")]
+    claims = spark.createDataFrame([(f"{k} {u}", u * 40000) for k, u in units], "claim_id string, claim string")
+    got = {r["claim_id"]: r for r in evidence.audit_claims(claims, claims.select("claim_id", F.concat(F.lit("So "), "claim").alias("quote"))).collect()}
+    assert {r["status"] for r in got.values()} == {"supported"} and all(got[f"{k} {u}"][k] == ("absent" if u == "Thor_x " else "matched") for k, u in units)
+    one = spark.createDataFrame([("La " * 40000 + "7 coins", "La " * 40000 + "8 coins")], "claim string, quote string").select(F.lit(1).alias("claim_id"), "*")
+    assert evidence.audit_claims(one.select("claim_id", "claim"), one.select("claim_id", "quote")).first()["numbers"] == "conflict"
+
+
+def test_audit_values_and_sentences_equal_the_plain_patterns(spark):
+    name = "[A-Z][\\p{L}\\p{N}]*"
+    plain = {"entities": f"{T._L}{name}(?:\\s+{name})*{T._W}", "numbers": "[+-]?[0-9]+(?:[,.][0-9]+)*(?:%|％)?"}
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["A", "Bö", "C1", "é", "É", "x", "_", " ", "  ", "\n", "7", "1,2", ".", ",", "!", "？", "。", '"', ")", "%", "-", "銀", "𝐀"]) for _ in range(rng.randint(0, 14))) for _ in range(20000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for kind, pattern in plain.items():
+        assert df.where(~T.audit_values(F.col("t"), kind).eqNullSafe(F.array_distinct(F.regexp_extract_all("t", F.lit(f"({pattern})"), 1)))).isEmpty()
+    assert df.where(T.sentence_key(F.col("t")) != F.regexp_replace(T.normalize(F.col("t")), "[.!?。！？]+$", "")).isEmpty()
+    end = re.compile(r"[^.!?。！？]*[.!?。！？]+(?:[\"'”’)\]]*)(?:\s+|$)|[^.!?。！？]+$", re.S)
+    for t in texts:
+        assert evidence.split_sentences(t) == [s.strip() for s in end.findall(t) if s.strip()]
+    began = time.perf_counter()
+    assert evidence.split_sentences("Thor " * 200000 + ".x" + "!" * 200000 + "y z.") == ["y z."] and time.perf_counter() - began < 5
+
+
 def test_quick_terms_are_the_terms():
     rng = random.Random(6)
     parts = ["The ", "x1_y", "-", "İx", "ẞ", "ΑΣ ", "ﬁ", "１２", "é", "é", "銀河", "데이터", "ー", "🌳", " ", "\x1c", "²", "½", "Ⅳ", "ª", "'s ", "a ", "who "]
