@@ -86,9 +86,10 @@ def header_links(cells: DataFrame) -> DataFrame:
     Row headers: scope rowgroup in the cell's group, or row or none with rows that overlap and a smaller column. Column
     headers: colgroup with columns that overlap, or col or none with columns that overlap and a smaller row. Headers are put
     at each row, column or group that they cover, so the interval join becomes equi-joins; a pair found twice counts once. The
-    cells are stored first, as they are joined three times and may come from a parse.
+    cells are stored first, as they are joined three times and may come from a parse. Cells pack well, so the size of their files
+    says little of the rows': without the hint the planner sends headers, or all cells, through the driver to every task.
     """
-    cells = stored(cells, "cells")
+    cells = stored(cells, "cells").hint("merge")
     head = cells.where("kind = 'header'").select(*(F.col(c).alias(f"h_{c}") for c in ("table_id", "cell_id", "row", "col", "row_span", "col_span", "row_group", "scope")))
     other = (F.col("table_id") == F.col("h_table_id")) & (F.col("cell_id") != F.col("h_cell_id"))
     pick = lambda df, axis: df.select("table_id", "cell_id", F.col("h_cell_id").alias("header_id"), F.lit(axis).alias("axis"))

@@ -168,6 +168,14 @@ def test_header_links_equal_a_scan_of_random_tables(spark):
     assert relations.overlapping_cells(df).count() == 0
 
 
+def test_header_links_send_no_cells_through_the_driver(spark):
+    cells = spark.range(20000).select(F.concat(F.col("id").cast("string"), F.lit(":t1")).alias("table_id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("row"))
+    head = F.when(F.col("row") == 0, "header").otherwise("data")
+    cells = cells.select("table_id", F.concat(F.lit("r"), "row").alias("cell_id"), "row", F.lit(0).alias("col"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), F.lit(0).alias("row_group"), head.alias("kind"), F.lit("col").alias("scope"))
+    links = relations.header_links(cells)  # 160,000 cells in files of well under a megabyte
+    assert links.count() == 140000 and "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_explicit_headers_and_images(spark):
     page = html.extract_page(1, "", "<table><tr><th id=a>A<th id=b>B<th id=b>C</tr><tr><td headers='a b zz'>1</td></tr></table>")
     df = spark.createDataFrame([{**c, "table_id": "t"} for c in page["tables"][0]["cells"]], "table_id string, cell_id string, row int, col int, row_span int, col_span int, row_group int, kind string, scope string, html_id string, headers string, paragraph_ids array<string>")
