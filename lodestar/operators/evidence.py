@@ -114,15 +114,16 @@ def _masked(text: Column, kind: str) -> Column:
 
 
 def audit_pair(claim: Column, candidate: Column) -> dict[str, Column]:
-    """For each kind whether claim and candidate conflict: alike but for one value of the kind, or for words of negation."""
+    """For each kind whether claim and candidate conflict: alike but for one value of the kind, or for words of negation. Values
+    are held against each other first, as most pairs have the same and then needn't be masked."""
     out = {}
     for kind in AUDIT:
         a, b = audit_values(claim, kind), audit_values(candidate, kind)
         alike = _masked(claim, kind) == _masked(candidate, kind)
         if kind == "negation":
-            out[kind] = alike & ((F.size(a) > 0) != (F.size(b) > 0))
+            out[kind] = ((F.size(a) > 0) != (F.size(b) > 0)) & alike
         else:
-            out[kind] = alike & (F.size(a) == F.size(b)) & (F.size(F.array_except(a, b)) == 1) & (F.size(F.array_except(b, a)) == 1)
+            out[kind] = (F.size(a) == F.size(b)) & (F.size(F.array_except(a, b)) == 1) & (F.size(F.array_except(b, a)) == 1) & alike
     return out
 
 
